@@ -82,7 +82,7 @@ def job_latency(jobs: DataFrame, exact: bool = False) -> DataFrame:
     return per_second.agg(
         F.sum("k").alias("n"),
         F.round(F.sum(F.col("s") * F.col("k")) / F.sum("k"), 6).alias("avg_s"),
-        F.round(F.percentile("s", 0.95, "k"), 6).alias("p95_s"),
+        F.round(F.percentile("s", 0.95, F.col("k")), 6).alias("p95_s"),
     )
 
 

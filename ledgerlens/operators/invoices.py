@@ -177,7 +177,7 @@ def page_total(df: DataFrame) -> DataFrame:
 
 def project_json(df: DataFrame, fields: dict[str, str], blob: str = "documento_json") -> DataFrame:
     """Typed fields of a JSON column, parsed once per row; what does not fit its type is NULL."""
-    struct = ",".join(f"{name}:string" for name in fields)
+    struct = ", ".join(f"{name} string" for name in fields)
     parsed = df.withColumn("_doc", F.from_json(F.col(blob), struct))
     return parsed.select(
         *df.columns,

@@ -35,6 +35,23 @@ def number_within(
     )
 
 
+def number_rows(df: DataFrame, key: str, start, out: str) -> DataFrame:
+    """Dense numbers ``start + 1 ..`` over the whole frame, whose ``key`` is unique, ordered by
+    (three hex digits of md5(key), key).
+
+    The 4096 md5 buckets are numbered in parallel; only their counts, 4096 rows at most, meet in one task.
+    """
+    tagged = df.withColumn("_b", F.substring(F.md5(F.col(key)), 1, 3))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = tagged.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+    )
+    local = tagged.withColumn("_local", F.row_number().over(Window.partitionBy("_b").orderBy(key)))
+    return local.join(F.broadcast(offsets), "_b").select(
+        *df.columns, (F.col("_local") + F.col("_before") + start).cast("bigint").alias(out)
+    )
+
+
 def last_before(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, value: str, out: str
 ) -> DataFrame:

@@ -41,12 +41,12 @@ VIEWS = {
           ORDER BY l_linenumber,l_partkey,l_suppkey,l_extendedprice) AS rn FROM lineitem)
         LEFT JOIN supplier ON l_suppkey=s_suppkey WHERE rn=1""",
     "facturas_p": "SELECT f.*, p.proveedor_id, p.proveedor_nombre FROM facturas f LEFT JOIN first_supplier p USING (id)",
-    "lineas": """SELECT factura_id, orden, producto_id, proveedor_id, cantidad,
-        round(importe_d / cantidad::DECIMAL(18,2)::DOUBLE, 2) AS precio_unitario, importe_d AS importe FROM (
+    "lineas": """SELECT factura_id, orden, producto_id, proveedor_id, cantidad, precio_c/100 AS precio_unitario, importe_c/100 AS importe, precio_c, importe_c FROM (
+        SELECT *, (2*importe_c + cantidad::BIGINT)//(2*cantidad::BIGINT) AS precio_c FROM (
         SELECT l_orderkey AS factura_id, row_number() OVER (PARTITION BY l_orderkey
           ORDER BY l_linenumber,l_partkey,l_suppkey,l_extendedprice,l_quantity,l_discount) AS orden,
         l_partkey AS producto_id, l_suppkey AS proveedor_id, l_quantity AS cantidad,
-        round(l_extendedprice*(1-l_discount),2) AS importe_d FROM lineitem)""",
+        (round(l_extendedprice*100)::BIGINT * round((1-l_discount)*100)::BIGINT + 50)//100 AS importe_c FROM lineitem))""",
     "documentos": """SELECT doc_id AS id, doc_id % (SELECT count(*) FROM orders) AS factura_id, source AS batch_id,
         (['web','mobile_camera','mobile_gallery'])[(doc_id%3+1)::INT] AS canal_entrada,
         'doc_'||doc_id::VARCHAR||CASE doc_id%4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.jpg' WHEN 2 THEN '.PNG' ELSE '.docx' END AS nombre_archivo,

@@ -148,16 +148,16 @@ class Domain:
             [F.col("l_linenumber"), F.floor(F.col("l_partkey") / 65536)],
             "orden",
         )
-        importe = F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 2).cast("decimal(18,2)")
-        qty = F.col("l_quantity").cast("decimal(18,2)")
-        return numbered.select(
+        # whole cents and whole quantities: exact halves on every engine
+        amount = F.expr("(cast(round(l_extendedprice * 100) as bigint) * cast(round((1 - l_discount) * 100) as bigint) + 50) div 100")
+        return numbered.withColumn("_c", amount).withColumn("_q", F.col("l_quantity").cast("bigint")).select(
             F.col("l_orderkey").alias("factura_id"),
             "orden",
             F.col("l_partkey").alias("producto_id"),
             F.col("l_suppkey").alias("proveedor_id"),
             F.col("l_quantity").alias("cantidad"),
-            F.round(importe / qty, 2).cast("double").alias("precio_unitario"),
-            importe.cast("double").alias("importe"),
+            (F.expr("(2 * _c + _q) div (2 * _q)") / 100).alias("precio_unitario"),
+            (F.col("_c") / 100).alias("importe"),
         )
 
     @cached_property
