@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ def pin(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(row)))
 
 
+def pin_fields(df: DataFrame, prefix: str, value: Column, names: Sequence[str]) -> DataFrame:
+    """The fields of a struct expression as pinned columns ``prefix + name``."""
+    return df.select("*", F.inline(F.array(value)).alias(*[prefix + n for n in names]))
+
+
 def first_of(items: Column) -> Column:
     return F.get(items, F.lit(0))
 

@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ...functions.text import nfkc, normalize_text
+from ...functions.text import nfkc
 from .common import pin, strip
 
 
 def scan_lines(corpus: DataFrame, *carried: str) -> DataFrame:
     """``text`` normalised, ``lines`` without blank ones, ``raw_lines`` the same lines with their inner
     spacing kept; ``carried`` columns of the corpus stay with their document."""
-    base = pin(corpus.select("doc_id", *carried, F.coalesce("text", F.lit("")).alias("source_text")), text=normalize_text(F.col("source_text")))
-    keep = lambda c: F.filter(F.transform(F.split(c, "\n"), strip), lambda x: x != "")
-    return pin(base, lines=keep(F.col("text")), raw_lines=keep(nfkc(F.col("source_text")))).drop("source_text")
+    split = F.split(F.coalesce("text", F.lit("")), "\n")
+    raw = F.filter(F.transform(split, lambda x: strip(nfkc(x))), lambda x: x != "")
+    df = pin(corpus.select("doc_id", *carried, "text"), raw_lines=raw).drop("text")
+    wide = lambda x: x.contains("  ") | x.contains("\t")
+    df = pin(df, lines=F.transform("raw_lines", lambda x: F.when(wide(x), F.regexp_replace(x, "[ \t]+", " ")).otherwise(x)))
+    # no pattern tells one line break from several, so blank lines can stay out of the text
+    return pin(df, text=F.array_join("lines", "\n"))
 
 
 def line_rows(scanned: DataFrame) -> DataFrame:
