@@ -130,21 +130,23 @@ LABEL_ONLY = (
     r"Descuento|Bonificaci[óo]n|Recargo|Vencimiento|Plazo|"
     r"Unidades|Cantidad|Precio|Art[íi]culo|C[óo]digo)\s*:?\s*$"
 )
-# a line that matches any of these cannot be the name of a party
+# a line that matches any of these cannot be the name of a party; with each pattern, the character that
+# every match contains, where there is one
 NOT_A_NAME = (
-    r"(?U)^[\d\s\-+().]+$",
-    r"(?U)^.*@.*\.",
-    r"(?U)^\d{5}\b",
-    r"(?iU)^(?:www\.|https?://)",
-    r"(?iU)^(?:CL?/|AVDA\.?\s|CALLE\s|PZZA?\.?\s|PLAZA\s|PASEO\s|CTRA\.?\s|URB\.?\s)",
-    r"(?U)^[^\d:][^:]{1,35}:\s+\S",
-    r"(?U)\d{1,2}/\d{1,2}/\d{2,4}",
-    r"(?iU)(?:www\.|https?://|\.com|\.es)",
-    r"(?iU)\d+\s*(?:GB|MB|TB|GHZ|MHZ|W\d|/\d)",
-    r"(?U)^.{2,30}:\s*$",
-    TERMS_NOT_NAMES,
-    PLACES,
-    LABEL_ONLY,
+    (r"(?U)^[\d\s\-+().]+$", ""),
+    (r"(?U)^.*@.*\.", "@"),
+    (r"(?U)^\d{5}\b", ""),
+    (r"(?iU)^(?:www\.|https?://)", ""),
+    (r"(?iU)^(?:CL?/|AVDA\.?\s|CALLE\s|PZZA?\.?\s|PLAZA\s|PASEO\s|CTRA\.?\s|URB\.?\s)", ""),
+    (r"(?U)^[^\d:][^:]{1,35}:\s+\S", ":"),
+    (r"(?U)\d{1,2}/\d{1,2}/\d{2,4}", "/"),
+    (r"(?iU)https?://", ":"),
+    (r"(?iU)(?:www\.|\.com|\.es)", "."),
+    (r"(?iU)\d+\s*(?:GB|MB|TB|GHZ|MHZ|W\d|/\d)", ""),
+    (r"(?U)^.{2,30}:\s*$", ":"),
+    (PLACES, ""),
+    (LABEL_ONLY, ""),
+    (TERMS_NOT_NAMES, ""),
 )
 
 # --- fixed values: invoice identity ----------------------------------------------------------------

@@ -21,8 +21,10 @@ def truthy(c: Column) -> Column:
 def parse_amount(c: Column) -> Column:
     """Amount text to double.  The last of comma and dot is the decimal mark; a lone comma is one only
     before two digits; what cannot be read is 0."""
-    raw = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s|€|\$|EUR", "")
-    raw = F.translate(raw, "−–—", "---")
+    given = F.coalesce(c, F.lit(""))
+    raw = F.when(given.rlike("^[0-9.,]+$"), given).otherwise(
+        F.translate(F.regexp_replace(given, r"(?U)\s|€|\$|EUR", ""), "−–—", "---")
+    )
     last_comma = F.length(raw) - F.locate(",", F.reverse(raw))
     last_dot = F.length(raw) - F.locate(".", F.reverse(raw))
     no_dots = F.replace(F.replace(raw, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
