@@ -23,14 +23,16 @@ def overall_absent_zero(conf: Column) -> Column:
 
 def overall_absent_skipped(conf: Column) -> Column:
     """Weighted mean over the fields that are present, critical fields always counted; capped, four decimals."""
-    weighted, weights = F.lit(0).cast("decimal(10,6)"), F.lit(0).cast("decimal(6,2)")
+    # millionths times tenths: whole numbers, so that halves round alike everywhere
+    weighted, weights = F.lit(0).cast("bigint"), F.lit(0).cast("bigint")
     for f, w in K.WEIGHTS_ABSENT_SKIPPED.items():
-        value, weight = _dec(conf[f]), F.lit(w).cast("decimal(4,2)")
+        value = F.round(F.coalesce(conf[f], F.lit(0.0)) * 1000000).cast("bigint")
+        weight = F.lit(int(float(w) * 10))
         counts = F.lit(True) if f in K.CRITICAL_FIELDS else value > 0
         weighted = weighted + F.when(counts, value * weight).otherwise(0)
         weights = weights + F.when(counts, weight).otherwise(0)
-    mean = weighted.cast("double") / weights.cast("double")
-    return F.round(F.least(F.lit(float(K.CONFIDENCE_CAP)), mean), 4)
+    mean = F.floor((weighted * 2 + weights * 100) / (weights * 200))
+    return F.least(mean / 10000, F.lit(float(K.CONFIDENCE_CAP)))
 
 
 def merge_maps(*maps: Column) -> Column:

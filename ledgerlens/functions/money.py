@@ -60,10 +60,16 @@ def _near(expected: Column, seen: Column, scale: Column) -> Column:
     return F.round(F.abs(expected - seen), 6) <= F.greatest(F.lit(0.10), F.abs(scale) * 0.02)
 
 
+def _share(amount: Column, percent: Column) -> Column:
+    """``percent`` of an amount in cents, exact halves away from zero."""
+    product = amount.try_cast("decimal(18,4)") * percent.try_cast("decimal(8,3)") * F.lit("0.01").cast("decimal(2,2)")
+    return F.round(product, 2).cast("double")
+
+
 def tax_score(base, rate, tax, total, withholding=None) -> Column:
     """How well (base, rate, tax, total) agree: 0 to 1."""
     b, r, t, tot, w = (_zero(x) for x in (base, rate, tax, total, withholding))
-    expected_tax = F.when(r != 0, F.round(F.abs(b) * r / 100, 2)).otherwise(0.0)
+    expected_tax = F.when(r != 0, _share(F.abs(b), r)).otherwise(0.0)
     expected_total = F.round(F.abs(b) + F.abs(t) - F.abs(w), 2)
     tax_part = F.when(
         (t != 0) & (expected_tax != 0) & _near(expected_tax, F.abs(t), expected_tax), 0.5
@@ -77,7 +83,7 @@ def infer_missing(base, rate, tax, total, withholding=None) -> Column:
     """Fill what is missing from what is known; each rule sees the tax filled before it but the
     original base and total."""
     b, r, t, tot, w = (_zero(x) for x in (base, rate, tax, total, withholding))
-    tax2 = F.when((t == 0) & (b != 0) & (r != 0), F.round(b * r / 100, 2)).otherwise(t)
+    tax2 = F.when((t == 0) & (b != 0) & (r != 0), _share(b, r)).otherwise(t)
     total2 = F.when((tot == 0) & ((b != 0) | (tax2 != 0)), F.round(b + tax2 - w, 2)).otherwise(tot)
     base2 = F.when((b == 0) & (tot != 0) & (tax2 != 0), F.round(tot - tax2 + w, 2)).otherwise(b)
     rate2 = F.when(
