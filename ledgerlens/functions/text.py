@@ -214,9 +214,9 @@ def page_with_margins(header: Column, body: Column, footer: Column) -> Column:
 
 def unfence_json(c: Column) -> Column:
     """The JSON object inside a model reply: code fences dropped, else the first flat object."""
-    s = F.trim(c)
-    fenced = F.regexp_extract(s, r"(?s)```(?:json)?\s*\n?(.*?)```", 1)
-    body = F.when(s.contains("```") & (fenced != ""), F.trim(fenced)).otherwise(s)
+    s = F.btrim(c, F.lit(" \t\r\n"))
+    fenced = F.btrim(F.regexp_extract(s, r"(?s)```(?:json)?\s*\n?(.*?)```", 1), F.lit(" \t\r\n"))
+    body = F.when(s.contains("```") & (fenced != ""), fenced).otherwise(s)
     flat = F.regexp_extract(body, r"(?s)\{[^{}]*\}", 0)
     return F.when(body.startswith("{") | (flat == ""), body).otherwise(flat)
 

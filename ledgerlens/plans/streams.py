@@ -1,0 +1,88 @@
+"""Streams drained over the whole tables; results equal the batch answer."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..streaming import operations as S
+from ..streaming.core import drain, newest, shared_folder, table_stream
+from ..streaming.jobs import track_jobs
+from .prelude import with_views
+from .registry import duck_ts, query, ts
+from .tables import _MOVE
+
+
+def _events(d):
+    # event time with a zone: watermarks need it
+    return table_stream(d.spark, d.dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _audit(d):
+    kind = F.col("event_type")
+    accion = (
+        F.when(kind == "signup", "SUBIDA").when(kind == "view", "PROCESAMIENTO_INICIADO")
+        .when(kind == "click", "EDITADA").when(kind == "purchase", "VALIDADA").otherwise("ERROR_PROCESAMIENTO"))
+    return _events(d).select(F.col("event_id").alias("id"), (F.col("event_id") % d.n_orders).alias("factura_id"), accion.alias("accion"), "user_id", "ts")
+
+
+@query("throughput_per_minute", f"SELECT {duck_ts('minute')} AS minute, count(*) AS n, count(*)>1 AS over_limit FROM (SELECT date_trunc('minute', ts) AS minute FROM events) GROUP BY minute")
+def throughput_per_minute(d):
+    table, _ = drain(S.throughput(_events(d), limit=1), "throughput")
+    return newest(table, "minute").select(ts("minute").alias("minute"), "n", "over_limit")
+
+
+@query("upload_rate_limit", f"""SELECT user_id, {duck_ts('start')} AS start, n FROM (SELECT user_id, time_bucket(INTERVAL 5 MINUTE, ts) - INTERVAL 5 MINUTE * i AS start, count(*) AS n
+    FROM events, (SELECT unnest(range(12)) AS i) GROUP BY 1,2) WHERE n>1""")
+def upload_rate_limit(d):
+    table, _ = drain(S.rate_limits(_events(d), 1, "1 hour", "5 minutes"), "limits")
+    return newest(table, "user_id", "start").select("user_id", ts("start").alias("start"), "n")
+
+
+@query("dedup_stream", "SELECT sha256(text) AS hash_archivo FROM documents GROUP BY 1")
+def dedup_stream(d):
+    docs = table_stream(d.spark, d.dir, "documents").select(
+        F.sha2("text", 256).alias("hash_archivo"), F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60).alias("ts"))
+    table, _ = drain(S.dedup_uploads(docs, "3650 days"), "dedup", mode="append")
+    return table.select("hash_archivo")
+
+
+@query("live_counts_stream", with_views(
+    f"""SELECT estado, count(*) AS count FROM (SELECT {_MOVE} AS estado, row_number() OVER (PARTITION BY factura_id ORDER BY created_at DESC, id DESC) rn FROM auditoria WHERE accion<>'EDITADA') WHERE rn=1 GROUP BY 1""", "auditoria"))
+def live_counts_stream(d):
+    table, _ = drain(S.last_states(_audit(d)), "counts")
+    return S.live_counts(table)
+
+
+@query("activity_feed_stream", with_views(f"SELECT id, factura_id, accion, {duck_ts('created_at')} AS ts FROM auditoria ORDER BY created_at DESC, id DESC LIMIT 20", "auditoria"))
+def activity_feed_stream(d):
+    table, _ = drain(_audit(d), "feed", mode="append", shape=lambda b: S.newest_rows(b, 20))
+    return S.newest_rows(table, 20).select("id", "factura_id", "accion", ts("ts").alias("ts"))
+
+
+@query("jobs_stateful_stream", f"""WITH e AS (SELECT event_id%100 AS factura_id, epoch_us(ts)//1000 AS ms, CASE event_type WHEN 'view' THEN 'PENDIENTE' WHEN 'click' THEN 'EN_PROCESO' WHEN 'error' THEN 'ERROR' ELSE 'COMPLETADO' END AS estado FROM events),
+    f AS (SELECT *, estado='EN_PROCESO' AND (lead(ms) OVER w > ms+900000 OR (lead(ms) OVER w IS NULL AND ms+900000 <= (SELECT max(ms) FROM e)-600000)) AS stuck,
+      count(*) FILTER (estado IN ('COMPLETADO','ERROR')) OVER (PARTITION BY factura_id ORDER BY ms ROWS UNBOUNDED PRECEDING) AS seg FROM e WINDOW w AS (PARTITION BY factura_id ORDER BY ms)),
+    g AS (SELECT *, count(*) FILTER (stuck) OVER (PARTITION BY factura_id, seg ORDER BY ms ROWS UNBOUNDED PRECEDING) AS nth FROM f)
+    SELECT factura_id, estado, ms, false AS recovered FROM g WHERE estado IN ('COMPLETADO','ERROR') UNION ALL
+    SELECT factura_id, CASE WHEN nth%2=0 THEN 'ERROR' ELSE 'PENDIENTE' END, ms+900000, true FROM g WHERE stuck""")
+def jobs_stateful_stream(d):
+    """Job events folded onto a hundred invoices, so that each has many."""
+    kind = F.col("event_type")
+    estado = F.when(kind == "view", "PENDIENTE").when(kind == "click", "EN_PROCESO").when(kind == "error", "ERROR").otherwise("COMPLETADO")
+    events = _events(d).select((F.col("event_id") % 100).alias("factura_id"), estado.alias("estado"), F.unix_millis("ts").alias("ms"), "ts")
+    table, _ = drain(track_jobs(events), "jobs", mode="append")
+    return table.select("factura_id", "estado", F.unix_millis("at").alias("ms"), "recovered")
+
+
+@query("late_rows_stream")
+def late_rows_stream(d):
+    """Rows dropped as late when the older half of the log arrives after the newer half."""
+    folder = shared_folder(d.spark, "late")
+    log = d.table("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    middle = log.agg((F.unix_seconds(F.min("ts")) + F.unix_seconds(F.max("ts"))) / 2).scalar()
+    newer = F.unix_seconds("ts") > middle
+    log.filter(newer).write.parquet(f"{folder}/a")
+    log.filter(~newer).write.parquet(f"{folder}/b")
+    stream = d.spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
+    _, q = drain(S.throughput(stream), "late-counts")
+    return d.spark.createDataFrame(S.late_rows(q), "batch_id bigint, dropped bigint")
