@@ -8,26 +8,26 @@ from pyspark.sql import functions as F
 from . import constants as K
 
 
-def _dec(c: Column) -> Column:
-    return F.coalesce(c.cast("decimal(10,6)"), F.lit(0).cast("decimal(10,6)"))
+def _millionths(c: Column) -> Column:
+    return F.floor(F.coalesce(c, F.lit(0.0)) * 1000000 + 0.5).cast("bigint")
 
 
 def overall_absent_zero(conf: Column) -> Column:
     """Weighted mean where an absent field counts as 0; two decimals."""
-    total = sum(
-        (_dec(conf[f]) * F.lit(w).cast("decimal(4,2)") for f, w in K.WEIGHTS_ABSENT_ZERO.items()),
-        F.lit(0).cast("decimal(10,6)"),
-    )
-    return F.round(total, 2).cast("double")
+    # millionths times hundredths: whole numbers, so that halves round alike everywhere
+    total = F.lit(0).cast("bigint")
+    for f, w in K.WEIGHTS_ABSENT_ZERO.items():
+        total = total + _millionths(conf[f]) * F.lit(round(float(w) * 100))
+    return F.floor((total + 500000) / 1000000) / 100
 
 
 def overall_absent_skipped(conf: Column) -> Column:
     """Weighted mean over the fields that are present, critical fields always counted; capped, four decimals."""
-    # millionths times tenths: whole numbers, so that halves round alike everywhere
+    # millionths times tenths
     weighted, weights = F.lit(0).cast("bigint"), F.lit(0).cast("bigint")
     for f, w in K.WEIGHTS_ABSENT_SKIPPED.items():
-        value = F.round(F.coalesce(conf[f], F.lit(0.0)) * 1000000).cast("bigint")
-        weight = F.lit(int(float(w) * 10))
+        value = _millionths(conf[f])
+        weight = F.lit(round(float(w) * 10))
         counts = F.lit(True) if f in K.CRITICAL_FIELDS else value > 0
         weighted = weighted + F.when(counts, value * weight).otherwise(0)
         weights = weights + F.when(counts, weight).otherwise(0)

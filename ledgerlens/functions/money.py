@@ -43,13 +43,16 @@ def parse_draft_number(c: Column) -> Column:
     return F.nullif(F.trim(F.replace(c, F.lit(","), F.lit("."))), F.lit("")).try_cast("double")
 
 
+# binary noise of cent amounts lies far below this
+EPSILON = 1e-9
+
+
 def cents(c: Column) -> Column:
-    return F.round(c * 100).cast("bigint")
+    return F.floor(c * 100 + 0.5).cast("bigint")
 
 
 def approx_eq(a: Column, b: Column, tol: float = 0.05) -> Column:
-    # differences of cent amounts carry binary noise far below a hundredth of a cent
-    return F.round(F.abs(a - b), 6) <= tol
+    return F.abs(a - b) <= tol + EPSILON
 
 
 def _zero(c: Column | None) -> Column:
@@ -57,26 +60,26 @@ def _zero(c: Column | None) -> Column:
 
 
 def _near(expected: Column, seen: Column, scale: Column) -> Column:
-    return F.round(F.abs(expected - seen), 6) <= F.greatest(F.lit(0.10), F.abs(scale) * 0.02)
+    return F.abs(expected - seen) <= F.greatest(F.lit(0.10), F.abs(scale) * 0.02) + EPSILON
 
 
 def _share(amount: Column, percent: Column) -> Column:
-    """``percent`` of an amount in cents, exact halves away from zero."""
-    product = amount.try_cast("decimal(18,4)") * percent.try_cast("decimal(8,3)") * F.lit("0.01").cast("decimal(2,2)")
-    return F.round(product, 2).cast("double")
+    """``percent`` (two decimals) of an amount in whole cents, halves away from zero."""
+    size = F.floor((cents(F.abs(amount)) * cents(percent) + 5000) / 10000) / 100
+    return F.when(amount < 0, -size).otherwise(size)
 
 
 def tax_score(base, rate, tax, total, withholding=None) -> Column:
     """How well (base, rate, tax, total) agree: 0 to 1."""
     b, r, t, tot, w = (_zero(x) for x in (base, rate, tax, total, withholding))
     expected_tax = F.when(r != 0, _share(F.abs(b), r)).otherwise(0.0)
-    expected_total = F.round(F.abs(b) + F.abs(t) - F.abs(w), 2)
+    expected_total = F.abs(b) + F.abs(t) - F.abs(w)
     tax_part = F.when(
         (t != 0) & (expected_tax != 0) & _near(expected_tax, F.abs(t), expected_tax), 0.5
     ).when((t == 0) & (expected_tax == 0), 0.3)
     total_part = F.when((tot != 0) & _near(expected_total, F.abs(tot), tot), 0.5).when(tot == 0, 0.1)
     score = F.coalesce(tax_part, F.lit(0.0)) + F.coalesce(total_part, F.lit(0.0))
-    return F.when((b <= 0) & (tot <= 0), 0.0).otherwise(F.round(score, 2))
+    return F.when((b <= 0) & (tot <= 0), 0.0).otherwise(score)
 
 
 def infer_missing(base, rate, tax, total, withholding=None) -> Column:

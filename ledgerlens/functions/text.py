@@ -130,11 +130,20 @@ def invoice_number_valid(c: Column) -> Column:
     )
 
 
-def document_type(text: Column) -> Column:
-    lowered = F.lower(text)
+def _contains_any(c: Column, *parts: str) -> Column:
+    hit = c.contains(parts[0])
+    for p in parts[1:]:
+        hit = hit | c.contains(p)
+    return hit
+
+
+def document_type(lowered: Column) -> Column:
+    """Kind of a document from its lower-case text.  Plain searches decide whether a pattern can match."""
+    rectifies = _contains_any(lowered, "rectificat", "abono")
+    simplified = _contains_any(lowered, "ticket", "simplificada", "documento", "valido", "compra")
     return (
-        F.when(lowered.rlike(K.RECTIFYING_MARKERS), "rectificativa")
-        .when(lowered.rlike(K.TICKET_MARKERS), "ticket")
+        F.when(rectifies & lowered.rlike(K.RECTIFYING_MARKERS), "rectificativa")
+        .when(simplified & lowered.rlike(K.TICKET_MARKERS), "ticket")
         .otherwise("factura")
     )
 

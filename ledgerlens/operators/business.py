@@ -14,6 +14,7 @@ from ..functions.money import withholdings
 from ..functions.taxid import clean_tax_id
 from ..functions.text import normalize_for_side, normalize_name
 from .normalize import invoice_side
+from .extraction.common import pin
 from .parties import same_party
 
 LINKED_NAME, LINKED_ID = "cliente_nombre_vinculado", "cliente_cif_vinculado"
@@ -60,6 +61,12 @@ def _is_company(name: Column, tax_id: Column) -> Column:
     return same_party(name, tax_id, F.col(LINKED_NAME), F.col(LINKED_ID))
 
 
+def _settle(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Set a column that later steps read often; its value is computed once per row."""
+    kept = [c for c in df.columns if c != name]
+    return pin(df, _value=value).select(*kept, F.col("_value").alias(name))
+
+
 def align_parties(df: DataFrame) -> DataFrame:
     """A party that is the linked client and lacks name or tax id takes both from the client."""
     out = F.col("normalized_document")
@@ -71,7 +78,7 @@ def align_parties(df: DataFrame) -> DataFrame:
             "legal_name", _or(F.col(LINKED_NAME), name)
         ).withField("tax_id", _or(F.col(LINKED_ID), tax_id))
         out = out.withField(role, F.when(fill, filled).otherwise(nested))
-    return df.withColumn("normalized_document", out)
+    return _settle(df, "normalized_document", out)
 
 
 def infer_side(df: DataFrame) -> Column:
@@ -166,10 +173,12 @@ def synchronize(df: DataFrame) -> DataFrame:
 
 
 def adapt(results: DataFrame) -> DataFrame:
-    """Align parties, decide the side, find the counterparty, synchronise: one chain of projections."""
+    """Align parties, decide the side, find the counterparty, synchronise.
+
+    Each decision is settled once per row before the next one reads it."""
     aligned = align_parties(results)
-    sided = aligned.withColumn("tipo_factura", infer_side(aligned))
-    return synchronize(sided.withColumn("counterparty", counterparty(F.col("tipo_factura"))))
+    sided = _settle(aligned, "tipo_factura", infer_side(aligned))
+    return synchronize(_settle(sided, "counterparty", counterparty(F.col("tipo_factura"))))
 
 
 def needs_refresh(stored_name, stored_id, new_name, new_id, company_name, company_id) -> Column:

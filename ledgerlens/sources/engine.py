@@ -10,14 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.normalize import ENGINE_NUMBERS, ENGINE_TEXT
-from .domain import Domain, make_cif
+from .domain import Domain, make_cif, spread
 
 LINE = "struct<descripcion:string,cantidad:double,precio_unitario:double,importe_total:double>"
 
 
 def engine_cents(d: Domain) -> DataFrame:
     """Amounts in cents: base, tax, surcharge, withholding, total with its fault, lines."""
-    o = d.table("orders").select(
+    o = spread(d.table("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"), "o_orderkey").select(
         F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("cust"), F.col("o_orderdate").alias("dt"),
         F.round(F.col("o_totalprice") * 100).cast("bigint").alias("t"),
     )
