@@ -225,17 +225,32 @@ class InvoiceQuery:
     page: int = 1
     limit: int = 20
 
+    def _needs_documents(self) -> bool:
+        """Whether the latest document decides which rows are listed or how they are ordered."""
+        return bool(self.channel or self.batch or self.search or self.sort_by == "fecha_subida")
+
     def matching(self, invoices: DataFrame, clients: DataFrame, documents: DataFrame) -> DataFrame:
-        """Rows of the list before paging.  Filters on invoice columns run before the joins."""
-        own = filter_invoices(invoices, estado=self.estado, company=self.company)
-        joined = with_latest_document(with_client(own, clients), documents)
-        scoped = filter_invoices(joined, asesoria=self.asesoria, channel=self.channel, batch=self.batch)
-        return search(scoped, self.search)
+        """Rows of the list before paging.  Filters on invoice columns run before the joins, and documents
+        are joined only where a filter or the order reads them."""
+        own = with_client(filter_invoices(invoices, estado=self.estado, company=self.company), clients)
+        scoped = filter_invoices(own, asesoria=self.asesoria)
+        if not self._needs_documents():
+            return scoped
+        joined = with_latest_document(scoped, documents)
+        return search(filter_invoices(joined, channel=self.channel, batch=self.batch), self.search)
 
     def run(self, invoices: DataFrame, clients: DataFrame, documents: DataFrame, jobs: DataFrame) -> DataFrame:
-        """The page is cut first: the latest job is then looked up for its few rows only."""
+        """The page is cut first: what only decorates it is then looked up for its few rows."""
         page = invoice_page(
             self.matching(invoices, clients, documents), self.sort_by, self.sort_dir, self.page, self.limit
         )
-        wanted = jobs.join(F.broadcast(page.select(F.col("id").alias("factura_id"))), "factura_id", "left_semi")
-        return with_latest_job(page, wanted).orderBy(*sort_columns(self.sort_by, self.sort_dir))
+        out = page
+        if not self._needs_documents():
+            out = with_latest_document(out, rows_of_page(documents, page))
+        return with_latest_job(out, rows_of_page(jobs, page)).orderBy(*sort_columns(self.sort_by, self.sort_dir))
+
+
+def rows_of_page(rows: DataFrame, page: DataFrame, key: str = "factura_id") -> DataFrame:
+    """Rows that belong to the invoices of a page; a page holds at most its limit of ids."""
+    ids = page.select(F.col("id").alias(key))
+    return rows.join(F.broadcast(ids), key, "left_semi")

@@ -74,8 +74,13 @@ def duplicate_documents(documents: DataFrame) -> DataFrame:
 
 
 def already_stored(new: DataFrame, stored: DataFrame) -> DataFrame:
-    """New files whose content is stored already."""
-    return new.join(stored.select("hash_archivo").distinct(), "hash_archivo", "left_semi")
+    """New files whose content is stored already.
+
+    Contents are matched once each, then joined back to the files with care for contents that many files
+    share."""
+    contents = new.groupBy("hash_archivo").agg(F.count(F.lit(1)).alias("n"))
+    known = contents.join(stored.select("hash_archivo").distinct(), "hash_archivo", "left_semi")
+    return join_summary(new, known, "hash_archivo", "n").drop("n")
 
 
 def distinct_files(files: DataFrame) -> DataFrame:
@@ -100,7 +105,10 @@ def route_text(pages: DataFrame) -> DataFrame:
 
 
 def assemble_text(blocks: DataFrame) -> DataFrame:
-    """Page text from positioned blocks: top to bottom, left to right; blank line between pages."""
+    """Page text from positioned blocks: top to bottom, left to right; blank line between pages.
+
+    A page is gathered in one row and so are the pages of a document: the result is one text per document,
+    and documents are admitted with few pages."""
     block = F.struct(F.round("y", 1).alias("y"), F.round("x", 1).alias("x"), F.trim("text").alias("text"))
     page = blocks.filter(F.trim("text") != "").groupBy("doc_id", "page").agg(
         F.array_sort(F.collect_list(block)).alias("b")

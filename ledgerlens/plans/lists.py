@@ -22,7 +22,11 @@ PAGE_COLS = ["id", "cliente_id", "estado", "numero_factura", "proveedor_nombre",
              "documento_id", "documento_nombre_archivo", "job_id", "job_estado", "job_retry_count"]
 
 
-def _page(df):
+def _page(d, q):
+    """A page that neither filters nor sorts by supplier: supplier names are looked up for its rows."""
+    page = q.run(_blank(d.facturas), d.clientes, d.documentos, d.jobs)
+    suppliers = d.supplier_of_first_line(I.rows_of_page(d.table("lineitem"), page, "l_orderkey"))
+    df = page.join(suppliers, "id", "left")
     return df.select(*PAGE_COLS, ts("created_at").alias("created_at"), ts("job_created_at").alias("job_created_at"))
 
 
@@ -36,32 +40,35 @@ def _page_sql(where: str, order: str, limit: str) -> str:
         "facturas_p", "clientes", "documentos", "jobs", ld=LATEST_DOC, joined=JOINED, lj=LATEST_JOB)
 
 
-def _listed(d):
-    inv = d.facturas_con_proveedor.withColumn("numero_correlativo", F.lit(None).cast("bigint")).withColumn(
+def _blank(invoices):
+    return invoices.withColumn("numero_correlativo", F.lit(None).cast("bigint")).withColumn(
         "fecha_procesado", F.lit(None).cast("timestamp_ntz"))
-    return inv, d.clientes, d.documentos, d.jobs
+
+
+def _listed(d):
+    return _blank(d.facturas_con_proveedor), d.clientes, d.documentos, d.jobs
 
 
 @query("invoice_page", _page_sql("asesoria_id=7", "created_at DESC, id DESC", "LIMIT 20"))
 def invoice_page(d):
-    return _page(I.InvoiceQuery(asesoria=7).run(*_listed(d)))
+    return _page(d, I.InvoiceQuery(asesoria=7))
 
 
 @query("invoice_page_by_total", _page_sql("asesoria_id=7 AND estado='VALIDADA'", "total ASC NULLS LAST, created_at DESC, id DESC", "LIMIT 20 OFFSET 20"))
 def invoice_page_by_total(d):
-    return _page(I.InvoiceQuery(asesoria=7, estado="VALIDADA", sort_by="total", sort_dir="asc", page=2).run(*_listed(d)))
+    return _page(d, I.InvoiceQuery(asesoria=7, estado="VALIDADA", sort_by="total", sort_dir="asc", page=2))
 
 
 @query("invoice_page_by_channel", _page_sql("documento_canal_entrada='mobile_camera'", "documento_fecha_subida DESC NULLS FIRST, created_at DESC, id DESC", "LIMIT 50"))
 def invoice_page_by_channel(d):
-    return _page(I.InvoiceQuery(channel="mobile_camera", sort_by="fecha_subida", limit=50).run(*_listed(d)))
+    return _page(d, I.InvoiceQuery(channel="mobile_camera", sort_by="fecha_subida", limit=50))
 
 
 @query("invoice_page_total", with_views(
     "SELECT count(*) AS total FROM joined WHERE asesoria_id=7 AND estado='VALIDADA'",
     "facturas_p", "clientes", "documentos", ld=LATEST_DOC, joined=JOINED))
 def invoice_page_total(d):
-    inv, cli, doc, _ = _listed(d)
+    inv, cli, doc = d.facturas, d.clientes, d.documentos
     return I.page_total(I.InvoiceQuery(asesoria=7, estado="VALIDADA").matching(inv, cli, doc))
 
 

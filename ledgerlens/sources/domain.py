@@ -121,16 +121,19 @@ class Domain:
             F.col("o_totalprice").alias("total"),
         )
 
-    @cached_property
-    def first_supplier(self) -> DataFrame:
+    def supplier_of_first_line(self, lines: DataFrame) -> DataFrame:
         """Supplier of the first line of each invoice; a map-side minimum, not a sort of the lines."""
         order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-        first = self.table("lineitem").groupBy("l_orderkey").agg(F.min(order).alias("first"))
+        first = lines.groupBy("l_orderkey").agg(F.min(order).alias("first"))
         suppliers = self.table("supplier").select("s_suppkey", F.col("s_name").alias("proveedor_nombre"))
         return first.select(
             F.col("l_orderkey").alias("id"), F.col("first.l_suppkey").alias("s_suppkey")
         ).join(suppliers, "s_suppkey", "left").select("id", F.col("s_suppkey").alias("proveedor_id"), "proveedor_nombre")
 
+    @cached_property
+    def first_supplier(self) -> DataFrame:
+        return self.supplier_of_first_line(self.table("lineitem"))
+
     @cached_property
     def facturas_con_proveedor(self) -> DataFrame:
         return self.facturas.join(self.first_supplier, "id", "left")
