@@ -12,18 +12,18 @@ from ..functions.taxid import clean_tax_id, loose_format_ok, tax_id_format, tax_
 from .prelude import control, with_views
 from .registry import query
 
-_key = F.col("c_custkey")
+_key = lambda: F.col("c_custkey")
 _str = lambda c: c.cast("string")
 _lit = lambda *xs: F.array(*[F.lit(x) for x in xs])
 
 
 def _names(d):
-    k = _str(_key)
+    k = _str(_key())
     return d.table("customer").select(
         "c_custkey",
-        F.when(_key % 4 == 0, F.concat(F.lit("Suministros García "), k, F.lit(", S.L.U.")))
-        .when(_key % 4 == 1, F.concat(F.lit(" Pérez  Ü"), k, F.lit(" S.A.")))
-        .when(_key % 4 == 2, F.concat(F.lit("Ñandú; (\""), k, F.lit("\") C.B.")))
+        F.when(_key() % 4 == 0, F.concat(F.lit("Suministros García "), k, F.lit(", S.L.U.")))
+        .when(_key() % 4 == 1, F.concat(F.lit(" Pérez  Ü"), k, F.lit(" S.A.")))
+        .when(_key() % 4 == 2, F.concat(F.lit("Ñandú; (\""), k, F.lit("\") C.B.")))
         .otherwise("S.L.").alias("name"))
 
 
@@ -60,9 +60,9 @@ def taxid_checksum(d):
     """Right and wrong ids of every kind made from the client keys."""
     from ..sources.domain import control_digit
 
-    digits = F.lpad(_str(_key), 7, "0")
+    digits = F.lpad(_str(_key()), 7, "0")
     check = control_digit(digits)
-    nif = F.lpad(_str(_key * 7919 % 100000000), 8, "0")
+    nif = F.lpad(_str(_key() * 7919 % 100000000), 8, "0")
     letter = lambda n, shift: F.substring(F.lit(K.NIF_LETTERS), ((n + shift) % 23).cast("int") + 1, F.lit(1))
     ids = {
         "cif": F.concat(F.lit("b-"), digits, F.lit(" "), _str(check)),
@@ -216,9 +216,9 @@ def json_replies(d):
 
 @query("id_lists", """SELECT c_custkey, CASE WHEN c_custkey%3=2 THEN 'x' ELSE 'B'||c_custkey||'|A'||c_custkey END AS ids FROM customer""")
 def id_lists(d):
-    k = _str(_key)
-    raw = F.when(_key % 3 == 0, F.concat(F.lit('["B'), k, F.lit('", "A'), k, F.lit('", ""]'))).when(
-        _key % 3 == 1, F.concat(F.lit(" B"), k, F.lit(" ,, A"), k)).otherwise("x,")
+    k = _str(_key())
+    raw = F.when(_key() % 3 == 0, F.concat(F.lit('["B'), k, F.lit('", "A'), k, F.lit('", ""]'))).when(
+        _key() % 3 == 1, F.concat(F.lit(" B"), k, F.lit(" ,, A"), k)).otherwise("x,")
     return d.table("customer").select("c_custkey", F.array_join(TX.id_list(raw), "|").alias("ids"))
 
 

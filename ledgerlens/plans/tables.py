@@ -17,10 +17,10 @@ from .prelude import with_views
 from .registry import duck_ts, query, ts
 
 NUMBERED = "SELECT *, row_number() OVER (PARTITION BY cliente_id ORDER BY created_at, id) AS numero_correlativo FROM facturas"
-NOW = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
+NOW = lambda: F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
 NOW_SQL = "TIMESTAMP '2024-01-31 00:00:00'"
 # half of the log's month counts as stuck
-CUT = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
+CUT = lambda: F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
 
 
 @query("correlative_backfill", with_views("SELECT id, cliente_id, numero_correlativo FROM n", "facturas", n=NUMBERED))
@@ -78,7 +78,7 @@ _REQUEUED = f"""SELECT *, estado='EN_PROCESO' AND started_at IS NOT NULL AND sta
     CASE WHEN recovered THEN concat_ws(' | ', nullif(error_message,''), CASE WHEN give_up THEN '{K.GIVE_UP_MESSAGE}' ELSE '{K.REQUEUE_MESSAGE}' END) ELSE error_message END AS error_message,
     recovered FROM r""", "jobs", r=_REQUEUED))
 def requeue_stale_jobs(d):
-    after, _ = J.requeue_stale(d.jobs, d.facturas, NOW, CUT)
+    after, _ = J.requeue_stale(d.jobs, d.facturas, NOW(), CUT())
     return after.select("id", "factura_id", "estado", ts("started_at").alias("started_at"), ts("finished_at").alias("finished_at"),
                         "retry_count", "error_message", "recovered")
 
@@ -88,7 +88,7 @@ def requeue_stale_jobs(d):
     FROM facturas f LEFT JOIN (SELECT factura_id, bool_or(NOT give_up) AS q, bool_or(give_up) AS e FROM r WHERE recovered GROUP BY 1) x ON x.factura_id=f.id""",
     "jobs", "facturas", r=_REQUEUED))
 def requeue_stale_invoices(d):
-    _, invoices = J.requeue_stale(d.jobs, d.facturas, NOW, CUT)
+    _, invoices = J.requeue_stale(d.jobs, d.facturas, NOW(), CUT())
     return invoices.select("id", "estado")
 
 
@@ -154,14 +154,14 @@ def apply_results(d):
         d.table("events").select(F.col("event_id").alias("id"), "props"), "id")
     results = done.groupBy("factura_id").agg(F.max(F.struct("id", "props")).alias("m")).select(
         F.col("factura_id").alias("id"), F.col("m.props").alias("documento_json"), ((F.col("m.id") % 97) * 0.0103).cast("double").alias("confianza"))
-    out = T.apply_results(d.facturas, results, NOW)
+    out = T.apply_results(d.facturas, results, NOW())
     return out.select("id", "estado", "confianza_ia", ts("fecha_procesado").alias("fecha_procesado"), "documento_json")
 
 
 @query("stamp_updated", with_views(
     f"SELECT id, CASE WHEN estado='SUBIDA' THEN {duck_ts(NOW_SQL)} END AS updated_at FROM facturas", "facturas"))
 def stamp_updated(d):
-    return T.stamp_updated(d.facturas, F.col("estado") == "SUBIDA", NOW).select("id", ts("updated_at").alias("updated_at"))
+    return T.stamp_updated(d.facturas, F.col("estado") == "SUBIDA", NOW()).select("id", ts("updated_at").alias("updated_at"))
 
 
 @query("json_migration_round_trip", with_views("SELECT factura_id, orden, producto_id, cantidad, precio_unitario, importe FROM lineas", "lineas"))
@@ -240,7 +240,7 @@ def upload_manifest(d):
 
     u = d.uploads
     rows = u.withColumn("factura_id", F.col("doc_id"))
-    audit = upload_rows(rows, 1, "127.0.0.1", NOW)["audit"]
+    audit = upload_rows(rows, 1, "127.0.0.1", NOW())["audit"]
     ids = u.select("doc_id", batch_id(F.col("fecha_subida"), F.col("batch_id")).alias("batch_id"), "hash_archivo")
     return ids.join(audit.select(F.col("factura_id").alias("doc_id"), "detalle_json"), "doc_id")
 
