@@ -140,13 +140,12 @@ NOT_A_NAME = (
     (r"(?iU)^(?:CL?/|AVDA\.?\s|CALLE\s|PZZA?\.?\s|PLAZA\s|PASEO\s|CTRA\.?\s|URB\.?\s)", ""),
     (r"(?U)^[^\d:][^:]{1,35}:\s+\S", ":"),
     (r"(?U)\d{1,2}/\d{1,2}/\d{2,4}", "/"),
-    (r"(?iU)https?://", ":"),
-    (r"(?iU)(?:www\.|\.com|\.es)", "."),
+    (r"(?iU)(?:www\.|https?://|\.com|\.es)", ""),
     (r"(?iU)\d+\s*(?:GB|MB|TB|GHZ|MHZ|W\d|/\d)", ""),
+    (TERMS_NOT_NAMES, ""),
     (r"(?U)^.{2,30}:\s*$", ":"),
     (PLACES, ""),
     (LABEL_ONLY, ""),
-    (TERMS_NOT_NAMES, ""),
 )
 
 # --- fixed values: invoice identity ----------------------------------------------------------------
@@ -211,7 +210,7 @@ METADATA_LINE = r"(?U)\b(?:CIF|NIF|DNI|TEL|FAX|MOVIL|CORREO|EMAIL|REF|PEDIDO|ALB
 LABEL_BASE = r"\b(?:base\s+imponible|importe\s+neto|subtotal|base)\b"
 LABEL_TAX = r"\b(?:cuota\s+(?:iva|igic)|iva|igic)\b"
 LABEL_TOTAL = r"\b(?:total(?:\s+factura|\s+compra)?|importe\s+total)\b"
-LABEL_WITHHOLDING = r"\b(?:retencion|irpf)\b"
+LABEL_WITHHOLDING = r"\b(?:retenci[oó]n|irpf)\b"
 WITHHOLDING_IN_TEXT = r"(?iU)retenci[oó]n.*?(\d{1,2}(?:[.,]\d+)?)\s*%.*?(\d+[.,]\d{2})"
 
 # --- fixed values: line-item table -----------------------------------------------------------------

@@ -357,6 +357,6 @@ def company_match(d):
     return P.match_company(issuer.unionByName(recipient), base)
 
 
-@query("own_tax_ids", with_views("SELECT id AS cliente_id, CASE WHEN cif IS NULL THEN '' ELSE cif||',' END||'B76099134,B35222249' AS tax_ids FROM clientes", "clientes"))
+@query("own_tax_ids", with_views("SELECT id AS cliente_id, CASE WHEN cif IS NULL THEN '' ELSE cif||',' END||'B12345674,B99999997' AS tax_ids FROM clientes", "clientes"))
 def own_tax_ids(d):
-    return P.own_tax_ids(d.clientes, ["B76099134", "B35222249", "B76099134"]).select("cliente_id", F.array_join("tax_ids", ",").alias("tax_ids"))
+    return P.own_tax_ids(d.clientes, ["B12345674", "B99999997", "B12345674"]).select("cliente_id", F.array_join("tax_ids", ",").alias("tax_ids"))
