@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.taxid import clean_tax_id
 from ..functions.text import normalize_name
+from ..session import cut_lineage
 from .windows import number_rows
 
 
@@ -56,7 +57,9 @@ def resolve_clients(parties: DataFrame, clients: DataFrame) -> DataFrame:
 
     Two equi-joins against known clients; unknown parties are grouped so that one new party is made once."""
     scope = ["asesoria_id"]
-    matched = _match(_distinct_parties(parties, scope), clients.select(*scope, "id", "nombre", "cif"), scope)
+    known = clients.select(*scope, "id", "nombre", "cif")
+    # read four times below; distinct parties are few next to the documents they come from
+    matched = cut_lineage(_match(_distinct_parties(parties, scope), known, scope))
     old, fresh = _with_new_ids(matched, clients, scope)
     cols = [*scope, "nombre", "cif"]
     return old.select(*cols, F.col("_id").alias("cliente_id"), F.lit(False).alias("is_new")).unionByName(
@@ -70,7 +73,7 @@ def resolve_suppliers(parties: DataFrame, suppliers: DataFrame) -> tuple[DataFra
     A match by cif takes over a changed name (the last party of the batch wins), a match by name fills a
     missing cif (the first party wins), the rest are new suppliers."""
     known = suppliers.select("id", "nombre", "cif")
-    matched = _match(_distinct_parties(parties, []), known, [])
+    matched = cut_lineage(_match(_distinct_parties(parties, []), known, []))
     old, fresh = _with_new_ids(matched, known, [])
     mapping = old.select("nombre", "cif", F.col("_id").alias("proveedor_id"), F.lit(False).alias("is_new")).unionByName(
         fresh.select("nombre", "cif", F.col("_new_id").alias("proveedor_id"), F.lit(True).alias("is_new"))
