@@ -6,8 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language_profiles, quality_fm
 from .common import table
+from .line_blocks import extract_main_text
 from .line_dedup import drop_lines
+from .simhash_tiles import near_duplicates
 from .token_counts import LIMIT, token_prefixes
 
 QUERIES = {}
@@ -30,6 +33,26 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
 
 
+@query("op2_quality_fm")
+def op2_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_fm.learn(docs, table(spark, sf_dir, "labels"))
+    scored = quality_fm.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", quality_fm.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality_fm.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query("op3_simhash_tiles")
+def op3_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op4_language_profiles")
+def op4_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    told = language_profiles.identify(docs, language_profiles.learn(docs))
+    return told.select("doc_id", language_profiles.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 OP9_SQL = r"""
 with lines as (
     select doc_id, u.i as i, u.line as line, translate(trim(u.line, e' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k
@@ -48,3 +71,8 @@ from told group by doc_id
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = drop_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op10_line_blocks")
+def op10_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
