@@ -65,8 +65,9 @@ def _packed(words: list[str]) -> np.ndarray:
     try:
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
     except KeyError:
-        for w in set(words) - known.keys():
-            known[w] = _word(w)
+        for w in words:
+            if w not in known:
+                known[w] = _word(w)
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
 

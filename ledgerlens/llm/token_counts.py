@@ -160,10 +160,11 @@ class PrefixCounter:
         """``deltas`` of many texts.  New units are counted in their order: neighbours share most of their prefixes."""
         special = self.special_at.search if self.special_at else lambda text: None
         cut = [None if special(t) else UNIT.findall(t) for t in texts]
-        new = set().union(*filter(None, cut)) - self.units.keys()
+        seen = set().union(*filter(None, cut))
+        new = [u for u in seen if u not in self.units]
         if len(self.units) + len(new) > self.remembered:
             self.units.clear()
-            new = set().union(*filter(None, cut))
+            new = list(seen)
         for unit in sorted(new):
             self.unit(unit)
         at = self.units.__getitem__
