@@ -10,6 +10,7 @@ from . import language_profiles, quality_fm
 from .common import table
 from .line_blocks import extract_main_text
 from .line_dedup import drop_lines
+from .sentencepiece_codec import encode_documents
 from .simhash_tiles import near_duplicates
 from .token_counts import LIMIT, token_prefixes
 
@@ -53,6 +54,11 @@ def op4_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", language_profiles.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+@query("op5_sentencepiece_codec")
+def op5_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 OP9_SQL = r"""
 with lines as (
     select doc_id, u.i as i, u.line as line, translate(trim(u.line, e' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k
