@@ -7,11 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language_profiles, quality_fm
+from .chunk_dedup import substring_repeats
 from .common import table
 from .line_blocks import extract_main_text
 from .line_dedup import drop_lines
 from .sentencepiece_codec import encode_documents
 from .simhash_tiles import near_duplicates
+from .string_tiling import contaminated
 from .token_counts import LIMIT, token_prefixes
 
 QUERIES = {}
@@ -59,6 +61,16 @@ def op5_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query("op7_chunk_dedup")
+def op7_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op8_string_tiling")
+def op8_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 OP9_SQL = r"""
 with lines as (
     select doc_id, u.i as i, u.line as line, translate(trim(u.line, e' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k
