@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_profiles, quality_fm
+from . import language_profiles, nn_descent, quality_fm
 from .chunk_dedup import substring_repeats
 from .common import table
 from .line_blocks import extract_main_text
@@ -61,6 +61,11 @@ def op5_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query("op6_nn_descent")
+def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query("op7_chunk_dedup")
 def op7_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_repeats(table(spark, sf_dir, "documents"))
