@@ -26,7 +26,7 @@ from .common import cut, slices, texts_of
 #: Bytes of a chunk on average, and at most; bytes in a row that make a repeat.
 AVERAGE = 16
 LONGEST = 512
-MIN_SPAN = 100
+MIN_SPAN = 72
 WINDOW = 16
 
 

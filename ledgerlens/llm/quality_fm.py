@@ -188,8 +188,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(words, stats, label, np.array([share[int(y)] for y in label]))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score``, 0 to 1, higher for label 1.  Null and empty texts are scored by their missing words."""
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", name: str = "score") -> DataFrame:
+    """``docs`` with a column ``name``, 0 to 1, higher for label 1.  Null and empty texts are scored by their missing words.
+
+    An older column ``name`` is replaced; all others pass through.
+    """
     # a tuple: broadcast values are pickled by reference, and executors need not have this package
     shared = docs.sparkSession.sparkContext.broadcast((model.edges, model.bias, model.linear, model.factors))
 
@@ -198,7 +201,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in slices(batches):
             got = [features(t) for t in texts_of(batch, text_col)]
             z = margins(model, *_rows([w for w, _ in got], np.array([s for _, s in got]), model.edges))
-            yield batch.append_column("score", pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30)))))
+            yield batch.append_column(name, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30)))))
 
-    rows = docs.drop("score")
-    return rows.mapInArrow(scored, T.StructType([*rows.schema, T.StructField("score", T.DoubleType())]))
+    rows = docs.drop(name)
+    return rows.mapInArrow(scored, T.StructType([*rows.schema, T.StructField(name, T.DoubleType())]))

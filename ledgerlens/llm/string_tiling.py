@@ -157,6 +157,12 @@ def _pass(docs: DataFrame, items: list[tuple[int, str]], least: int, coverage: f
     return docs.mapInArrow(tile, TILED)
 
 
+def _items(benchmark: DataFrame, item_col: str, item_text_col: str) -> tuple[DataFrame, int]:
+    """Test items with a text, and their bytes."""
+    items = benchmark.selectExpr(f"cast(`{item_col}` as long) item_id", f"`{item_text_col}` text").where("text is not null")
+    return items, items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     least: int = LEAST, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES,
@@ -167,8 +173,7 @@ def contaminated(
     of either table give repeated answers.  Words are runs of word characters, lower-cased.
     """
     texts = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text")
-    items = benchmark.selectExpr(f"cast(`{item_col}` as long) item_id", f"`{item_text_col}` text").where("text is not null")
-    size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    items, size = _items(benchmark, item_col, item_text_col)
     if size <= block_bytes:
         return _pass(texts, [tuple(r) for r in items.collect()], least, coverage)  # at most block_bytes, just measured
     blocks = int(2 * size // block_bytes) + 1
@@ -178,3 +183,28 @@ def contaminated(
         found = cut(_pass(texts, [tuple(r) for r in block], least, coverage))
         done = found if done is None else done.union(found)
     return done
+
+
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    least: int = LEAST, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """``docs`` without the rows that an item of ``benchmark`` contaminates.  Rows with null or empty texts stay.
+
+    Items of one block filter texts where they lie.  With more blocks the ids found are taken out by a join; rows without
+    an id then stay.
+    """
+    items, size = _items(benchmark, item_col, item_text_col)
+    if size > block_bytes:
+        found = contaminated(docs, benchmark, id_col, text_col, item_col, item_text_col, least, coverage, block_bytes)
+        gone = found.select(F.col("doc_id").alias("_gone")).distinct()
+        return docs.join(gone.hint("shuffle_hash"), docs[id_col].cast("long") == gone["_gone"], "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])  # at most block_bytes, just measured
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = Items(shared.value, least)
+        for batch in slices(batches):
+            keep = [not any(sum(k for _, _, k in tiles) >= coverage * words for _, words, tiles in items.matches(t)) for t in texts_of(batch, text_col)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)
