@@ -1,9 +1,10 @@
 """Substring dedup by content-defined chunks.
 
 A gear hash rolls over the bytes of each text: every byte shifts it by one bit and adds the byte's random number, so it
-depends on the last sixteen bytes only.  A chunk ends where the hash falls below a threshold.  Ends move with the text, so
-an insertion changes the chunks around it and no others.  Chunks are compared by digest: the document of smallest id that
-holds a chunk keeps it, others lose it where at least ``MIN_SPAN`` bytes in a row are such chunks.
+depends on the last sixteen bytes only.  Anchors are where the hash falls below a threshold; they move with the text.  A chunk
+starts at every anchor and ends at the first anchor at least ``LEAST`` bytes on, so chunks overlap, each is long enough not
+to recur by chance, and an insertion changes the chunks around it and no others.  Chunks are compared by digest: the document
+of smallest id that holds a chunk keeps it, others lose it where such chunks make at least ``MIN_SPAN`` bytes in a row.
 
 Two passes deal small rows by digest.  The first keeps the smallest and largest document of each, summed before the
 shuffle; digests of two or more documents are written.  The second joins the chunks to them, and hot digests are split.
@@ -23,9 +24,10 @@ from pyspark.sql.window import Window
 
 from .common import cut, slices, texts_of
 
-#: Bytes of a chunk on average, and at most; bytes in a row that make a repeat.
+#: Bytes between anchors on average, and at most; bytes of a chunk at least; bytes in a row that make a repeat.
 AVERAGE = 16
 LONGEST = 512
+LEAST = 56
 MIN_SPAN = 72
 WINDOW = 16
 
@@ -47,8 +49,8 @@ def gear(data: np.ndarray, table: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunk_ends(data: np.ndarray, table: np.ndarray, average: int = AVERAGE, longest: int = LONGEST) -> np.ndarray:
-    """Ends of the chunks of a text's UTF-8 bytes.  Characters stay whole; a stretch without an end is cut at ``longest``."""
+def anchors(data: np.ndarray, table: np.ndarray, average: int = AVERAGE, longest: int = LONGEST) -> np.ndarray:
+    """Anchors in a text's UTF-8 bytes, and its end.  Characters stay whole; a stretch without an anchor gets one at ``longest``."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64)
@@ -70,6 +72,15 @@ def chunk_ends(data: np.ndarray, table: np.ndarray, average: int = AVERAGE, long
     return np.array(out)
 
 
+def chunks(data: np.ndarray, table: np.ndarray, average: int = AVERAGE, longest: int = LONGEST, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the chunks of a text.  A text below ``least`` bytes has none."""
+    ends = anchors(data, table, average, longest)
+    begin = np.r_[0, ends[:-1]] if len(ends) else ends
+    at = np.searchsorted(ends, begin + least)
+    whole = at < len(ends)
+    return begin[whole], ends[at[whole]]
+
+
 def chunk_rows(docs: DataFrame, average: int, longest: int, places: bool) -> DataFrame:
     """One row per chunk: ``digest``, ``doc``; with ``places`` also ``start`` and ``size`` in bytes."""
 
@@ -79,8 +90,7 @@ def chunk_rows(docs: DataFrame, average: int, longest: int, places: bool) -> Dat
             digests, docs_of, starts, sizes = [], [], [], []
             for doc, text in zip(batch.column("doc").to_pylist(), texts_of(batch)):
                 raw = text.encode()
-                ends = chunk_ends(np.frombuffer(raw, np.uint8), table, average, longest)
-                begin = np.r_[0, ends[:-1]] if len(ends) else ends
+                begin, ends = chunks(np.frombuffer(raw, np.uint8), table, average, longest)
                 found = np.frombuffer(b"".join([digest(raw[a:b]) for a, b in zip(begin.tolist(), ends.tolist())]), np.int64)
                 if not places and len(found):
                     found = np.unique(found)
@@ -98,8 +108,8 @@ def chunk_rows(docs: DataFrame, average: int, longest: int, places: bool) -> Dat
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", average: int = AVERAGE, longest: int = LONGEST, min_span: int = MIN_SPAN) -> DataFrame:
     """Spans that a document of smaller id holds too: ``doc_id``, ``start``, ``size`` (bytes), ``first_doc_ids``.
 
-    Rows that share an id are one document.  A row without an id keeps all its text and takes none from others.  Null and
-    empty texts have no chunks.
+    Rows that share an id are one document.  A row without an id keeps all its text and takes none from others.  Null, empty
+    and very short texts have no chunks.
     """
     rows = docs.selectExpr(f"cast(`{id_col}` as long) doc", f"`{text_col}` text").where("doc is not null")
     held = chunk_rows(rows, average, longest, False).groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))

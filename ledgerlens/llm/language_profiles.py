@@ -48,21 +48,19 @@ class Grams:
         if found is None:
             edged = f"_{word}_"
             grams = [edged[k : k + n] for n in range(1, LONGEST + 1) for k in range(len(edged) - n + 1)]
-            numbers = []
-            for g in grams:
-                if g == "_":
-                    continue
-                i = self.number.get(g)
-                if i is None:
-                    i = self.number[g] = len(self.names)
-                    self.names.append(g)
-                    if i >= len(self.ties):
-                        self.ties = np.r_[self.ties, np.zeros_like(self.ties)]
-                    self.ties[i] = crc32(g.encode())
-                numbers.append(i)
-            found = self.words[word] = np.array(numbers, np.int64)
+            found = self.words[word] = np.array([self.of_gram(g) for g in grams if g != "_"], np.int64)
         return found
 
+    def of_gram(self, gram: str) -> int:
+        i = self.number.get(gram)
+        if i is None:
+            i = self.number[gram] = len(self.names)
+            self.names.append(gram)
+            if i >= len(self.ties):
+                self.ties = np.r_[self.ties, np.zeros_like(self.ties)]
+            self.ties[i] = crc32(gram.encode())
+        return i
+
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and counts of a text's n-grams."""
         if len(self.words) > REMEMBERED or len(self.names) > GRAMS:
@@ -90,29 +88,16 @@ class Grams:
 
     def table(self, profiles: dict[str, dict[str, int]], size: int) -> np.ndarray:
         """Rank of each numbered n-gram in each language; -1: not in the profile."""
-        key, held = self.ranks.get("key"), self.ranks.get("table")
-        if key is not profiles or held.shape[1] < len(self.names):
-            held = np.full((len(profiles), 2 * len(self.names) + 1024), -1, np.int64)
-            for row, ranks in zip(held, profiles.values()):
-                for gram, rank in ranks.items():
-                    if (i := self.number.get(gram)) is not None:
-                        row[i] = rank
-            # numbers given later are of n-grams in no table yet: enter those of the profiles now
-            for row, ranks in zip(held, profiles.values()):
-                for gram, rank in ranks.items():
-                    if gram not in self.number:
-                        self.of_word_gram(gram)
-                    if self.number[gram] < held.shape[1]:
-                        row[self.number[gram]] = rank
-            self.ranks = {"key": profiles, "table": held}
-        return held
-
-    def of_word_gram(self, gram: str) -> None:
-        self.number[gram] = i = len(self.names)
-        self.names.append(gram)
-        if i >= len(self.ties):
-            self.ties = np.r_[self.ties, np.zeros_like(self.ties)]
-        self.ties[i] = crc32(gram.encode())
+        if self.ranks.get("of") is not profiles:
+            for gram in {g for ranks in profiles.values() for g in ranks}:
+                self.of_gram(gram)
+            self.ranks = {"of": profiles, "table": np.zeros((len(profiles), 0), np.int64)}
+        if (table := self.ranks["table"]).shape[1] < len(self.names):
+            table = np.full((len(profiles), 2 * len(self.names)), -1, np.int64)  # room for n-grams that are in no profile
+            for row, ranks in zip(table, profiles.values()):
+                row[[self.number[g] for g in ranks]] = list(ranks.values())
+            self.ranks["table"] = table
+        return table
 
 
 def held_out(doc_id: Column) -> Column:
@@ -145,7 +130,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     def flush(total: dict) -> Iterator[pa.RecordBatch]:
         for lang, counts in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts)), pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], names=["lang", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["lang", "gram", "n"])
         total.clear()
 
     sums = chosen.mapInArrow(counted, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -184,6 +169,6 @@ def identify(docs: DataFrame, profiles: dict[str, dict[str, int]], id_col: str =
                 far = distances(top, grams.table(profiles, size), size)
                 best = int(far.argmin())
                 langs.append(names[best]), scores.append(1.0 - float(far[best]) / (size * len(top)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text").mapInArrow(told, "doc_id long, lang_pred string, score double")
