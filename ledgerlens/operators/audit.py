@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from .windows import first_per, top_per
+from .windows import first_per, number_within, top_per
 
 
 def audit_rows(events: DataFrame, detail: list[str]) -> DataFrame:
@@ -22,11 +22,15 @@ def with_user_name(audit: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def audit_trail(audit: DataFrame, users: DataFrame, factura_id: int | None = None) -> DataFrame:
-    """Entries with user name, newest first; one invoice, or all with their position in the trail."""
-    if factura_id is not None:
-        one = with_user_name(audit.filter(F.col("factura_id") == factura_id), users)
-        return one.orderBy(F.col("created_at").desc(), F.col("id").desc())
-    return with_user_name(audit, users)
+    """Entries with user name and ``posicion`` in the trail of their invoice, the newest being 1.
+
+    With ``factura_id`` the trail of one invoice, newest first.  Days split a long trail, undated entries come last.
+    """
+    rows = audit if factura_id is None else audit.filter(F.col("factura_id") == factura_id)
+    back = F.datediff(F.lit("9999-12-31").cast("date"), F.to_date("created_at"))
+    order = [F.col("created_at").desc_nulls_last(), F.col("id").desc()]
+    trail = with_user_name(number_within(rows, ["factura_id"], order, [back], "posicion"), users)
+    return trail if factura_id is None else trail.orderBy("posicion")
 
 
 def latest_audit(audit: DataFrame, users: DataFrame) -> DataFrame:

@@ -12,9 +12,9 @@ from .common import pin, strip
 def scan_lines(corpus: DataFrame, *carried: str) -> DataFrame:
     """``text`` normalised, ``lines`` without blank ones, ``raw_lines`` the same lines with their inner
     spacing kept; ``carried`` columns of the corpus stay with their document."""
-    split = F.split(F.coalesce("text", F.lit("")), "\n")
-    raw = F.filter(F.transform(split, lambda x: strip(nfkc(x))), lambda x: x != "")
-    df = pin(corpus.select("doc_id", *carried, "text"), raw_lines=raw).drop("text")
+    df = pin(corpus.select("doc_id", *carried, "text"), _folded=nfkc(F.coalesce("text", F.lit(""))))
+    raw = F.filter(F.transform(F.split("_folded", "\n"), strip), lambda x: x != "")
+    df = pin(df, raw_lines=raw).drop("text", "_folded")
     wide = lambda x: x.contains("  ") | x.contains("\t")
     df = pin(df, lines=F.transform("raw_lines", lambda x: F.when(wide(x), F.regexp_replace(x, "[ \t]+", " ")).otherwise(x)))
     # no pattern tells one line break from several, so blank lines can stay out of the text

@@ -85,8 +85,11 @@ def invoice_side(side: Column) -> Column:
     return F.when(side == "venta", "emitida").when(side == "compra", "recibida").otherwise("desconocida")
 
 
-def normalize_vision(df: DataFrame, side: Column) -> DataFrame:
-    """Engine columns to flat fields plus ``normalized_document``; ``side`` is the operation side."""
+def normalize_vision(df: DataFrame, side: Column, *carried: str) -> DataFrame:
+    """Engine columns to flat fields plus ``normalized_document``; ``side`` is the operation side.
+
+    ``carried`` columns of the engine rows go along.
+    """
     d = {c: F.col(c) for c in (*ENGINE_TEXT, *ENGINE_NUMBERS)}
     n_lines = F.greatest(F.coalesce(F.size("lineas"), F.lit(0)), F.lit(0))
     conf = field_confidence(d, n_lines, lines_sum(F.col("lineas")), F.coalesce("prompt_tokens", F.lit(0)))
@@ -142,6 +145,7 @@ def normalize_vision(df: DataFrame, side: Column) -> DataFrame:
         regime.alias("tax_regime"), "operation_side", "confianza", map_lines(F.col("lineas")).alias("lineas"), "field_confidence",
         missing_fields(F.col("field_confidence")).alias("missing_fields"), inferred_fields(F.col("field_confidence")).alias("inferred_fields"),
         document.alias("normalized_document"),
+        *carried,
     )
 
 

@@ -9,14 +9,19 @@ from .windows import number_within
 
 
 def backfill_correlative(invoices: DataFrame) -> DataFrame:
-    """Number the invoices of each client by (created_at, id); days split the large clients.
+    """Number the invoices of each client that have no number yet by (created_at, id); days split the large clients.
 
-    Only unnumbered invoices with a client are numbered.  Invoices without a client get none.
+    All rows come back: those with a number keep it, those without a client get none.  Undated invoices come last.
     """
-    todo = invoices.filter(F.col("cliente_id").isNotNull())
-    return number_within(
-        todo, ["cliente_id"], [F.col("created_at"), F.col("id")], [F.to_date("created_at")], "numero_correlativo"
+    if "numero_correlativo" not in invoices.columns:
+        invoices = invoices.withColumn("numero_correlativo", F.lit(None).cast("bigint"))
+    open_ = F.col("numero_correlativo").isNull() & F.col("cliente_id").isNotNull()
+    order = [F.col("created_at").asc_nulls_last(), F.col("id")]
+    numbered = number_within(
+        invoices.filter(open_).drop("numero_correlativo"), ["cliente_id"], order, [F.to_date("created_at")], "numero_correlativo"
     )
+    rest = invoices.filter(~open_).withColumn("numero_correlativo", F.col("numero_correlativo").cast("bigint"))
+    return numbered.unionByName(rest)
 
 
 def max_numbers(invoices: DataFrame) -> DataFrame:
@@ -42,18 +47,16 @@ def bump_counters(counters: DataFrame, new_counts: DataFrame) -> DataFrame:
 
 def assign_correlative(new_invoices: DataFrame, counters: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Numbers for a batch of new invoices that continue each client's counter, and the new counters."""
-    local = backfill_correlative(new_invoices).withColumnRenamed("numero_correlativo", "_local")
+    fresh = new_invoices.drop("numero_correlativo")
+    local = backfill_correlative(fresh).withColumnRenamed("numero_correlativo", "_local")
     numbered = local.join(counters.select("cliente_id", "ultimo_correlativo"), "cliente_id", "left").select(
-        *new_invoices.columns,
+        *fresh.columns,
         (F.col("_local") + F.coalesce("ultimo_correlativo", F.lit(0))).cast("bigint").alias("numero_correlativo"),
     )
-    without = new_invoices.filter(F.col("cliente_id").isNull()).withColumn(
-        "numero_correlativo", F.lit(None).cast("bigint")
-    )
     counts = new_invoices.filter(F.col("cliente_id").isNotNull()).groupBy("cliente_id").agg(
         F.count(F.lit(1)).alias("n")
     )
-    return numbered.unionByName(without), bump_counters(counters, counts)
+    return numbered, bump_counters(counters, counts)
 
 
 def numbering_gaps(numbered: DataFrame) -> DataFrame:

@@ -27,7 +27,9 @@ def _key_of_new(unmatched: DataFrame, scope: list[str]) -> DataFrame:
     """Group key of parties nobody knows yet: rows with one cif share the smallest of their names, and
     parties with one name are one party; without a name the cif is the key."""
     named = unmatched.filter("cif is not null").groupBy(*scope, "cif").agg(F.min("norm").alias("_cif_name"))
-    keyed = unmatched.join(named, [*scope, "cif"], "left")
+    # parties without a cif would all share one join key: they pass beside the join
+    without = unmatched.filter("cif is null").withColumn("_cif_name", F.lit(None).cast("string"))
+    keyed = unmatched.filter("cif is not null").join(named, [*scope, "cif"], "left").unionByName(without)
     own = F.coalesce("_cif_name", "norm", F.concat(F.lit("cif:"), F.col("cif")), F.lit("?"))
     return keyed.withColumn("_key", F.concat_ws("|", *[F.col(c).cast("string") for c in scope], own)).drop("_cif_name")
 
@@ -38,7 +40,9 @@ def _match(parties: DataFrame, known: DataFrame, scope: list[str]) -> DataFrame:
     by_name = known.withColumn("norm", normalize_name(F.col("nombre"))).filter("norm is not null").groupBy(
         *scope, "norm"
     ).agg(F.min("id").alias("_by_name"))
-    return parties.join(by_cif, [*scope, "cif"], "left").join(by_name, [*scope, "norm"], "left")
+    without = parties.filter("cif is null").withColumn("_by_cif", F.lit(None).cast("bigint"))
+    matched = parties.filter("cif is not null").join(by_cif, [*scope, "cif"], "left").unionByName(without)
+    return matched.join(by_name, [*scope, "norm"], "left")
 
 
 def _with_new_ids(matched: DataFrame, known: DataFrame, scope: list[str]) -> tuple[DataFrame, DataFrame]:

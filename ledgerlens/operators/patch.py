@@ -58,26 +58,17 @@ def apply_results(invoices: DataFrame, results: DataFrame, now: Column) -> DataF
     )
 
 
-def to_documents(invoices: DataFrame, lines: DataFrame, part_lines: int = 500) -> DataFrame:
-    """Columns and line rows to JSON documents, lines in order.
-
-    A document takes up to ``part_lines`` lines; longer invoices continue in further parts, so no invoice,
-    however long, is gathered into one row.
-    """
+def to_documents(invoices: DataFrame, lines: DataFrame) -> DataFrame:
+    """Columns and line rows to one JSON document per invoice, lines in order, whatever their number."""
     item = F.struct("orden", "producto_id", "cantidad", "precio_unitario", "importe")
-    part = F.floor((F.col("orden") - 1) / part_lines).cast("bigint")
-    gathered = lines.groupBy(F.col("factura_id").alias("id"), part.alias("parte")).agg(
-        F.array_sort(F.collect_list(item)).alias("lineas")
-    )
+    gathered = lines.groupBy(F.col("factura_id").alias("id")).agg(F.array_sort(F.collect_list(item)).alias("lineas"))
     joined = invoices.join(gathered, "id", "left")
     empty = F.array().cast(gathered.schema["lineas"].dataType)
     blob = F.to_json(
         F.struct("numero_factura", "fecha", F.col("proveedor_nombre").alias("proveedor"), "total",
                  F.coalesce("lineas", empty).alias("lineas"))
     )
-    return joined.select(
-        "id", "cliente_id", "estado", "created_at", F.coalesce("parte", F.lit(0)).alias("parte"), blob.alias("documento_json")
-    )
+    return joined.select("id", "cliente_id", "estado", "created_at", blob.alias("documento_json"))
 
 
 DOCUMENT_LINES = (

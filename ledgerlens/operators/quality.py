@@ -91,7 +91,7 @@ def _money(c: Column) -> Column:
 
 
 def review_warnings(df: DataFrame) -> Column:
-    """Warnings ``(tone, text)`` that a reviewer sees, in rule order, repeated ones once.
+    """Warnings ``(tone, text, rule)`` that a reviewer sees, in rule order; equal tone and text come once.
 
     Expects flat invoice columns: numero_factura, fecha, proveedor, issuer_name, cif_proveedor, base_imponible,
     iva, total, tax_regime, document_type, warnings, decision_flags, job_error, lineas(importe).
@@ -108,34 +108,40 @@ def review_warnings(df: DataFrame) -> Column:
     ticket = F.coalesce(col("document_type").isin(*K.TICKET_TYPES), F.lit(False))
     label = F.upper(F.coalesce(F.nullif(col("tax_regime"), F.lit("")), F.lit("IVA")))
 
-    def warn(tone: str, condition: Column, message) -> Column:
+    def warn(rule: str, tone: str, condition: Column, message) -> Column:
         body = F.lit(message) if isinstance(message, str) else message
-        return F.when(condition, F.struct(F.lit(tone).alias("tone"), body.alias("text")))
+        return F.when(condition, F.struct(F.lit(tone).alias("tone"), body.alias("text"), F.lit(rule).alias("rule")))
 
     flagged = F.transform(
         F.filter(F.coalesce("decision_flags", F.array()), lambda f: F.coalesce(f["message"], F.lit("")) != ""),
         lambda f: F.struct(
             F.when(f["severity"] == "error", "error").when(f["requires_review"], "warning").otherwise("info").alias("tone"),
             f["message"].alias("text"),
+            F.lit("decision_flag").alias("rule"),
         ),
     )
     rules = F.array(
-        warn("error", F.coalesce(col("job_error"), F.lit("")) != "", F.concat(F.lit(K.MSG_JOB_ERROR), col("job_error"))),
-        warn("warning", in_group("doc_ai_fallback"), K.MSG_FALLBACK),
-        warn("warning", in_group("doc_ai_fallback_error"), K.MSG_FALLBACK_ERROR),
-        warn("warning", F.coalesce(col("numero_factura"), F.lit("")) == "", K.MSG_NO_NUMBER),
-        warn("warning", F.coalesce(col("fecha"), F.lit("")) == "", K.MSG_NO_DATE),
-        warn("warning", (F.coalesce(col("proveedor"), F.lit("")) == "") & (F.coalesce(col("issuer_name"), F.lit("")) == ""), K.MSG_NO_PARTY),
-        warn("info", text("cif_proveedor") == "", K.MSG_NO_TAX_ID),
-        warn("warning", (text("cif_proveedor") != "") & ~tax_id_valid(text("cif_proveedor")), F.format_string(K.MSG_BAD_TAX_ID, col("cif_proveedor"))),
-        warn("warning", delta > 0.02, F.format_string(K.MSG_TOTALS, _money(base), label, _money(tax), _money(total))),
-        warn("warning", ~ticket & has_lines & (line_delta > 0.02), F.format_string(K.MSG_LINES, _money(line_sum), _money(base))),
-        warn("info", ~has_lines, K.MSG_NO_LINES),
-        warn("info", (delta <= 0.02) & in_group("source_discrepancy"), K.MSG_RECONCILED),
-        warn("info", has_lines & (line_delta <= 0.02) & in_group(*K.ADJUSTMENT_GROUPS), K.MSG_ADJUSTED),
-        warn("info", ticket, K.MSG_TICKET),
+        warn("job_error", "error", F.coalesce(col("job_error"), F.lit("")) != "", F.concat(F.lit(K.MSG_JOB_ERROR), col("job_error"))),
+        warn("fallback", "warning", in_group("doc_ai_fallback"), K.MSG_FALLBACK),
+        warn("fallback_error", "warning", in_group("doc_ai_fallback_error"), K.MSG_FALLBACK_ERROR),
+        warn("no_number", "warning", F.coalesce(col("numero_factura"), F.lit("")) == "", K.MSG_NO_NUMBER),
+        warn("no_date", "warning", F.coalesce(col("fecha"), F.lit("")) == "", K.MSG_NO_DATE),
+        warn("no_party", "warning", (F.coalesce(col("proveedor"), F.lit("")) == "") & (F.coalesce(col("issuer_name"), F.lit("")) == ""), K.MSG_NO_PARTY),
+        warn("no_tax_id", "info", text("cif_proveedor") == "", K.MSG_NO_TAX_ID),
+        warn("bad_tax_id", "warning", (text("cif_proveedor") != "") & ~tax_id_valid(text("cif_proveedor")), F.format_string(K.MSG_BAD_TAX_ID, col("cif_proveedor"))),
+        warn("totals", "warning", delta > 0.02, F.format_string(K.MSG_TOTALS, _money(base), label, _money(tax), _money(total))),
+        warn("lines", "warning", ~ticket & has_lines & (line_delta > 0.02), F.format_string(K.MSG_LINES, _money(line_sum), _money(base))),
+        warn("no_lines", "info", ~has_lines, K.MSG_NO_LINES),
+        warn("reconciled", "info", (delta <= 0.02) & in_group("source_discrepancy"), K.MSG_RECONCILED),
+        warn("adjusted", "info", has_lines & (line_delta <= 0.02) & in_group(*K.ADJUSTMENT_GROUPS), K.MSG_ADJUSTED),
+        warn("ticket", "info", ticket, K.MSG_TICKET),
+    )
+    none = F.array().cast("array<struct<tone:string,text:string,rule:string>>")
+    same = lambda v, w: (v["tone"] == w["tone"]) & (v["text"] == w["text"])
+    return F.aggregate(
+        F.filter(F.concat(flagged, rules), lambda w: w.isNotNull()).cast("array<struct<tone:string,text:string,rule:string>>"), none,
+        lambda kept, w: F.when(F.exists(kept, lambda v: same(v, w)), kept).otherwise(F.array_append(kept, w)),
     )
-    return F.array_distinct(F.filter(F.concat(flagged, rules), lambda w: w.isNotNull()))
 
 
 def panel_tone(warnings: Column) -> Column:

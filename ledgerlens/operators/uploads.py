@@ -23,6 +23,18 @@ def admit_files(files: DataFrame, max_bytes: int = K.MAX_UPLOAD_BYTES) -> DataFr
     return files.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
 
 
+def admit_requests(files: DataFrame, request: str, max_files: int = K.MAX_FILES_PER_REQUEST) -> DataFrame:
+    """``request_ok`` per file: a request with more than ``max_files`` files is refused as a whole."""
+    sizes = files.groupBy(request).agg(F.count(F.lit(1)).alias("n_files"))
+    return join_summary(files, sizes, request, "n_files").withColumn("request_ok", F.col("n_files") <= max_files)
+
+
+def engine_admits(files: DataFrame, max_bytes: int = K.MAX_ENGINE_BYTES) -> DataFrame:
+    """``engine_ok`` per file: what the extraction engine takes; empty files and unknown sizes are refused."""
+    size = F.col("tamano_bytes")
+    return files.withColumn("engine_ok", F.coalesce((size > 0) & (size <= max_bytes), F.lit(False)))
+
+
 def file_limits(files: DataFrame, max_bytes: int = K.MAX_UPLOAD_BYTES) -> DataFrame:
     return files.select(
         "*",

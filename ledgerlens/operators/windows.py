@@ -17,19 +17,21 @@ def number_within(
     ``buckets`` must be a coarse, monotone prefix of ``order`` (the day of a timestamp, say).  Rows are
     numbered inside (key, bucket); the counts of the earlier buckets of the key, summed over the small
     pre-aggregated table, are added.  A key with a third of all rows is thus spread over its buckets.
-    Keys and buckets must not be NULL.
+    A NULL bucket comes last; ``order`` must say the same (``asc_nulls_last``).  NULL keys are one key.
     """
     names = [f"_b{i}" for i in range(len(buckets))]
     tagged = df.select("*", *[b.alias(n) for b, n in zip(buckets, names)])
     fine = [*keys, *names]
-    before = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy(*[F.col(n).asc_nulls_last() for n in names]).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         tagged.groupBy(*fine)
         .agg(F.count(F.lit(1)).alias("_n"))
         .select(*fine, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     )
     local = tagged.withColumn("_local", F.row_number().over(Window.partitionBy(*fine).orderBy(*order)))
-    joined = local.join(offsets, fine, "left")
+    offsets = offsets.select(*[F.col(c).alias("_k" + c) for c in fine], "_before")
+    same = [local[c].eqNullSafe(offsets["_k" + c]) for c in fine]
+    joined = local.join(offsets, same, "left")
     return joined.select(
         *df.columns, (F.col("_local") + F.col("_before")).cast("bigint").alias(out)
     )

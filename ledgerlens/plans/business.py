@@ -19,9 +19,9 @@ def _sql(sql: str, **extra: str) -> str:
     return with_views(sql, cents=CENTS, eng=ENG, **extra)
 
 
-def _sided(d):
+def _sided(d, *carried):
     side = B.side_by_ids_and_names(*[F.col(c) for c in _PARTS])
-    return NZ.normalize_vision(engine(d), side)
+    return NZ.normalize_vision(engine(d), side, *carried)
 
 
 @query("operation_side_ids", _sql(
@@ -93,12 +93,11 @@ def json_documents(d):
 
 def _linked(d):
     """Engine results with the linked client; sides left open for half of them."""
-    sided = _sided(d).withColumn("cliente_id", F.col("doc_id"))
-    e = engine(d).select("doc_id", "company_name", "company_tax_id")
+    sided = _sided(d, "company_name", "company_tax_id").withColumn("cliente_id", F.col("doc_id"))
     open_side = F.col("doc_id") % 2 == 0
     doc = F.col("normalized_document")
     blank = doc["classification"].withField("operation_kind", F.lit("desconocida")).withField("invoice_side", F.lit("desconocida"))
-    return sided.join(e, "doc_id").withColumn("operation_side", F.when(open_side, "unknown").otherwise(F.col("operation_side"))).withColumn(
+    return sided.withColumn("operation_side", F.when(open_side, "unknown").otherwise(F.col("operation_side"))).withColumn(
         "normalized_document", doc.withField("classification", F.when(open_side, blank).otherwise(doc["classification"]))
     ).withColumn(B.LINKED_NAME, F.col("company_name")).withColumn(B.LINKED_ID, F.col("company_tax_id"))
 

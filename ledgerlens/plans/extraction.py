@@ -17,7 +17,6 @@ from ..operators.extraction import fields as FI
 from ..operators.extraction import items as IT
 from ..operators.extraction import lines as LI
 from ..operators.extraction import taxids as TI
-from ..sources.domain import spread
 from ..sources.render import invoice_text
 from .prelude import control, with_views
 from .registry import query
@@ -200,7 +199,7 @@ def extract_regimes(d):
 @query("extract_documents_corpus", """SELECT doc_id, text IS NOT NULL AND regexp_matches(text,'\\S') AS has_lines FROM documents""")
 def extract_documents_corpus(d):
     """The whole extraction over prose: every document comes back, blank ones as empty results."""
-    x = X.extract_invoices(spread(d.table("documents").select("doc_id", "text"), "doc_id"))
+    x = X.extract_invoices(d.table("documents").select("doc_id", "text"))
     return x.select("doc_id", (F.col("method") != "none").alias("has_lines"))
 
 
@@ -211,7 +210,7 @@ def corpus_findings(d):
     docs = d.table("documents").select("doc_id", "text")
     out = []
     for name, corpus in (("documents", docs), ("pages", pages)):
-        x = X.extract_invoices(spread(corpus, "doc_id"))
+        x = X.extract_invoices(corpus)
         out.append(x.agg(
             F.lit(name).alias("corpus"), F.count(F.lit(1)).alias("n"), F.count_if(F.size("entities") > 0).alias("with_tax_id"),
             F.count_if(F.col("numero_factura") != "").alias("with_number"), F.count_if(F.col("fecha") != "").alias("with_date"),

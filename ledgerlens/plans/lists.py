@@ -210,11 +210,12 @@ def lookup_client_by_cif(d):
 
 
 @query("audit_trail", with_views(
-    f"SELECT a.id, a.factura_id, a.usuario_id, u.nombre AS usuario_nombre, a.accion, a.detalle_json, {duck_ts('a.created_at')} AS created_at FROM auditoria a LEFT JOIN usuarios u ON a.usuario_id=u.id",
+    f"""SELECT a.id, a.factura_id, a.usuario_id, u.nombre AS usuario_nombre, a.accion, a.detalle_json, {duck_ts('a.created_at')} AS created_at,
+    row_number() OVER (PARTITION BY a.factura_id ORDER BY a.created_at DESC, a.id DESC) AS posicion FROM auditoria a LEFT JOIN usuarios u ON a.usuario_id=u.id""",
     "auditoria", "usuarios"))
 def audit_trail(d):
     return A.audit_trail(d.auditoria, d.usuarios).select(
-        "id", "factura_id", "usuario_id", "usuario_nombre", "accion", "detalle_json", ts("created_at").alias("created_at"))
+        "id", "factura_id", "usuario_id", "usuario_nombre", "accion", "detalle_json", ts("created_at").alias("created_at"), "posicion")
 
 
 @query("latest_audit_by_action", with_views(

@@ -180,7 +180,8 @@ def _reviewed(d):
     k = F.col("doc_id")
     flat = NZ.normalize_vision(engine(d), F.lit("compra"))
     flag = F.struct(F.lit("Revisar serie").alias("message"), F.when(k % 28 == 0, "error").otherwise("info").alias("severity"), (k % 14 == 0).alias("requires_review"))
-    codes = F.when(k % 3 == 0, F.array(F.lit("discrepancia_total"))).when(k % 3 == 1, F.array(F.lit("iva_x"), F.lit("doc_ai_fallback"))).otherwise(F.array())
+    codes = F.when(k % 3 == 0, F.array(F.lit("discrepancia_total"))).when(k % 3 == 1, F.array(F.lit("iva_x"), F.lit("doc_ai_fallback"))).when(
+        k % 6 == 2, F.array(F.lit("doc_ai_fallback_error"))).otherwise(F.array())
     return flat.select(
         "doc_id", "numero_factura", "fecha", "proveedor", F.col("normalized_document.issuer.name").alias("issuer_name"), "cif_proveedor",
         F.when(k % 23 != 0, F.col("base_imponible")).alias("base_imponible"), "iva", "total", "tax_regime", F.col("tipo_factura").alias("document_type"),
@@ -193,6 +194,7 @@ _SUM = "CASE WHEN k%6=0 THEN 0 ELSE l1+l2 END"
 WARN = f"""SELECT k, p, tone, text FROM (
   SELECT k, 0 AS p, CASE WHEN k%28=0 THEN 'error' WHEN k%14=0 THEN 'warning' ELSE 'info' END AS tone, 'Revisar serie' AS text, k%7=0 AS c FROM eng
   UNION ALL SELECT k,1,'error','{K.MSG_JOB_ERROR}fallo', k%31=0 FROM eng UNION ALL SELECT k,2,'warning','{K.MSG_FALLBACK}', k%3=1 FROM eng
+  UNION ALL SELECT k,3,'warning','{K.MSG_FALLBACK_ERROR}', k%6=2 FROM eng
   UNION ALL SELECT k,4,'warning','{K.MSG_NO_NUMBER}', numero='' FROM eng UNION ALL SELECT k,5,'warning','{K.MSG_NO_DATE}', fecha='' FROM eng
   UNION ALL SELECT k,6,'warning','{K.MSG_NO_PARTY}', emisor='' FROM eng UNION ALL SELECT k,7,'info','{K.MSG_NO_TAX_ID}', emisor_nif='' FROM eng
   UNION ALL SELECT k,8,'warning','{K.MSG_BAD_TAX_ID}'.replace('%s','12345'), emisor_nif='12345' FROM eng
@@ -216,15 +218,15 @@ def panel_tones(d):
     return r.select("doc_id", Q.review_warnings(r).alias("w")).select("doc_id", Q.panel_tone(F.col("w")).alias("tone"))
 
 
-@query("warning_counts", with_views("SELECT tone, p, count(*) AS n FROM warn WHERE p IN (1,2,4,5,6,7,8,11,12,13,14) GROUP BY 1,2", cents=CENTS, eng=ENG, warn=WARN))
+_RULES = ["decision_flag", "job_error", "fallback", "fallback_error", "no_number", "no_date", "no_party", "no_tax_id", "bad_tax_id", "totals", "lines", "no_lines", "reconciled", "adjusted", "ticket"]
+
+
+@query("warning_counts", with_views(
+    f"SELECT tone, ({_RULES})[p+1] AS rule, count(*) AS n FROM warn GROUP BY 1,2", cents=CENTS, eng=ENG, warn=WARN))
 def warning_counts(d):
-    """How often each fixed warning occurs."""
-    order = {K.MSG_JOB_ERROR + "fallo": 1, K.MSG_FALLBACK: 2, K.MSG_NO_NUMBER: 4, K.MSG_NO_DATE: 5, K.MSG_NO_PARTY: 6, K.MSG_NO_TAX_ID: 7, K.MSG_BAD_TAX_ID % "12345": 8,
-             K.MSG_NO_LINES: 11, K.MSG_RECONCILED: 12, K.MSG_ADJUSTED: 13, K.MSG_TICKET: 14}
-    place = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
+    """How often each rule warns."""
     r = _reviewed(d)
-    rows = r.select(F.inline(Q.review_warnings(r))).withColumn("p", place[F.col("text")])
-    return rows.filter("p is not null").groupBy("tone", "p").agg(F.count(F.lit(1)).alias("n"))
+    return r.select(F.inline(Q.review_warnings(r))).groupBy("tone", "rule").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("suspicious_flags", _sql(

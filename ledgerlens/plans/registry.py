@@ -34,7 +34,7 @@ def duck_ts(c: str) -> str:
 
 
 def plans() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import business, extraction, lists, quality, scalars, streams, tables  # noqa: F401
+    from . import business, extraction, lists, quality, rules, scalars, streams, tables  # noqa: F401
 
     def bind(plan):
         return lambda spark, sf_dir: plan(Domain(tune(spark), sf_dir))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings only: safe to apply to a session somebody else created.
@@ -28,18 +30,24 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
+def shared_root(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, a laptop) a temporary folder is used.
+    Where it is unset a temporary one serves, but only if driver and executors are one process; elsewhere the
+    executors would not see it.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir", None)
-        if shared is None:
-            import tempfile
+    root = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    if root is None:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return root.rstrip("/")
 
-            shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        sc.setCheckpointDir(shared)
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -41,6 +41,7 @@ class Domain:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self.files_per_trigger: int | None = None  # for streams over the tables; None: the streams' own
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")

@@ -45,8 +45,11 @@ def manifest(files: DataFrame, batch: Column, channel: str = "web") -> DataFrame
     )
 
 
-def upload_rows(manifest_rows: DataFrame, user_id: int, ip: str, now: Column) -> dict[str, DataFrame]:
-    """The document, job and audit frames one upload writes; all three derive from the same manifest."""
+def upload_rows(manifest_rows: DataFrame, user_id: int, ip: str, now: Column, *carried: str) -> dict[str, DataFrame]:
+    """The document, job and audit frames one upload writes; all three derive from the same manifest.
+
+    ``carried`` columns of the manifest go along with the audit rows.
+    """
     jobs = manifest_rows.select(
         "factura_id", F.lit("PENDIENTE").alias("estado"), F.lit(0).cast("bigint").alias("retry_count"), now.alias("created_at")
     )
@@ -57,6 +60,7 @@ def upload_rows(manifest_rows: DataFrame, user_id: int, ip: str, now: Column) ->
         F.to_json(F.struct(F.col("nombre_archivo").alias("archivo"), F.col("tamano_bytes").alias("tamano"))).alias("detalle_json"),
         F.lit(ip).alias("ip_address"),
         now.alias("created_at"),
+        *carried,
     )
     return {"documents": manifest_rows.withColumn("fecha_subida", now), "jobs": jobs, "audit": audit}
 

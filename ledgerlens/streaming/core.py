@@ -8,27 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import shared_root
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the one the cluster names in ``spark.checkpoint.dir``; a temporary one only where
-    that is unset, as in tests."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        import tempfile
+#: Files one micro-batch takes unless the caller says otherwise: what bounds the rows a task sees at once.
+FILES_PER_TRIGGER = 200
 
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared one."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def table_stream(spark: SparkSession, sf_dir: str, table: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A table's files as a stream with the table's schema."""
+    """A table as a stream with its schema, whether it is one file or a folder of files."""
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(sf_dir)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger or FILES_PER_TRIGGER)
+    # a pattern, since a stream takes folders and patterns but no single file
+    return reader.parquet(f"{sf_dir}/{table}.parque[t]")
 
 
 def drain(stream: DataFrame, name: str, mode: str = "update", shape=None):

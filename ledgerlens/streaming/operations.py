@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from .core import shared_folder
+
+LATE = "rows long, late long, newest long, batch long"
 
 
 def dedup_uploads(uploads: DataFrame, delay: str = "30 days") -> DataFrame:
@@ -45,9 +48,24 @@ def rate_limits(stream: DataFrame, n: int, width: str, slide: str, late: str = "
     return per.filter(F.col("n") > n).select("user_id", F.col("window.start").alias("start"), "n")
 
 
-def late_rows(query) -> list[tuple[int, int]]:
-    """(batch, rows dropped for being late) from the progress of a finished or running query."""
-    return [
-        (p["batchId"], sum(int(s.get("numRowsDroppedByWatermark", 0)) for s in p["stateOperators"]))
-        for p in query.recentProgress
-    ]
+def late_rows(stream: DataFrame, minutes: int = 10) -> DataFrame:
+    """One row per micro-batch: ``batch``, ``rows``, ``late``, ``newest``.
+
+    A row is late if its minute ended before the watermark, the newest event time of the batches before less ``minutes``.
+    The watermark is read from what those batches wrote, so a batch that runs twice counts the same.
+    """
+    spark, sink = stream.sparkSession, f"{shared_folder(stream.sparkSession, 'late')}/table"
+    ends = F.unix_micros("ts") - F.pmod(F.unix_micros("ts"), F.lit(60_000_000)) + 60_000_000
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        seen = None
+        if batch_id > 0:
+            seen = spark.read.schema(LATE).parquet(sink).filter(F.col("batch") < batch_id).agg(F.max("newest").alias("m")).first()["m"]
+        mark = None if seen is None else seen - minutes * 60_000_000
+        late = F.lit(0).cast("long") if mark is None else F.count_if(ends <= mark)
+        counted = batch.agg(F.count(F.lit(1)).alias("rows"), late.alias("late"), F.max(F.unix_micros("ts")).alias("newest"))
+        counted.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+
+    query = stream.writeStream.option("checkpointLocation", f"{sink}-checkpoint").foreachBatch(write).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(LATE).parquet(sink)
