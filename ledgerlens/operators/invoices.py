@@ -111,19 +111,22 @@ def search(df: DataFrame, term: str | None) -> DataFrame:
     return df.filter(predicate)
 
 
-def scope_to_users(df: DataFrame, users: DataFrame) -> DataFrame:
-    """(user, invoice) pairs a user may open: company users see their own client, firm users their own
-    firm.  Two equi-joins, one per kind of user."""
-    company = users.filter((F.col("tipo_usuario") == "EMPRESA") & F.col("cliente_id").isNotNull()).select(
-        F.col("id").alias("usuario_id"), F.col("asesoria_id").alias("_firm"), "cliente_id"
+def visible_counts(invoices: DataFrame, clients: DataFrame, users: DataFrame) -> DataFrame:
+    """How many invoices each user may open: company users those of their own client if it belongs to their firm, firm
+    users those of their firm.
+
+    Invoices are counted per client before users are joined, so (user, invoice) pairs never materialise.
+    """
+    per_client = invoices.groupBy("cliente_id").agg(F.count(F.lit(1)).alias("n"))
+    own = per_client.join(clients.select(F.col("id").alias("cliente_id"), "asesoria_id"), "cliente_id")
+    company = (F.col("tipo_usuario") == "EMPRESA") & F.col("cliente_id").isNotNull()
+    by_company = users.filter(company).select(F.col("id").alias("usuario_id"), F.col("asesoria_id").alias("_firm"), "cliente_id")
+    same_firm = F.col("asesoria_id").isNull() | F.col("_firm").isNull() | (F.col("asesoria_id") == F.col("_firm"))
+    by_firm = users.filter(~F.coalesce(company, F.lit(False))).select(F.col("id").alias("usuario_id"), "asesoria_id")
+    seen = own.join(by_company, "cliente_id").filter(same_firm).select("usuario_id", "n").unionByName(
+        own.groupBy("asesoria_id").agg(F.sum("n").alias("n")).join(by_firm, "asesoria_id").select("usuario_id", "n")
     )
-    firm = users.filter(
-        (F.col("tipo_usuario") != "EMPRESA") | F.col("cliente_id").isNull()
-    ).select(F.col("id").alias("usuario_id"), "asesoria_id")
-    own_client = df.join(company, "cliente_id").filter(
-        F.col("asesoria_id").isNull() | F.col("_firm").isNull() | (F.col("asesoria_id") == F.col("_firm"))
-    ).drop("_firm")
-    return own_client.unionByName(df.join(firm, "asesoria_id"))
+    return seen.groupBy("usuario_id").agg(F.sum("n").alias("visible"))
 
 
 def scope_to_user(df: DataFrame, tipo_usuario: str, asesoria_id: int | None, cliente_id: int | None) -> DataFrame:

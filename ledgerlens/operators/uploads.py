@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..session import cut_lineage
 from .windows import first_per, join_summary
 
 
@@ -79,8 +80,9 @@ def duplicate_documents(documents: DataFrame) -> DataFrame:
     """One row per copy, pointing at the first document with the same content.
 
     Copies are never gathered into one row: a content copied a million times gives a million rows, joined
-    to its summary by broadcast."""
-    return join_summary(documents, duplicate_hashes(documents), "hash_archivo", "n").select(
+    to its summary by broadcast.  Ids and hashes are written once, so that contents are read and hashed once."""
+    hashed = cut_lineage(documents.select("id", "hash_archivo"))
+    return join_summary(hashed, duplicate_hashes(hashed), "hash_archivo", "n").select(
         "id", "hash_archivo", "n", "first_id"
     )
 
@@ -89,7 +91,7 @@ def already_stored(new: DataFrame, stored: DataFrame) -> DataFrame:
     """New files whose content is stored already.
 
     Contents are matched once each, then joined back to the files with care for contents that many files
-    share."""
+    share.  The new files are used three times: cut the lineage of frames that hash texts."""
     contents = new.groupBy("hash_archivo").agg(F.count(F.lit(1)).alias("n"))
     known = contents.join(stored.select("hash_archivo").distinct(), "hash_archivo", "left_semi")
     return join_summary(new, known, "hash_archivo", "n").drop("n")

@@ -137,19 +137,7 @@ def latest_document(d):
     OR (NOT (u.tipo_usuario='EMPRESA' AND u.cliente_id IS NOT NULL) AND x.asesoria_id=u.asesoria_id) GROUP BY 1""",
     "usuarios", "facturas", "clientes"))
 def user_scope(d):
-    """How many invoices each user may open.  Invoices are counted per client before users are joined, so the
-    number of (user, invoice) pairs never materialises."""
-    per_client = d.facturas.groupBy("cliente_id").agg(F.count(F.lit(1)).alias("n"))
-    firm = d.clientes.select(F.col("id").alias("cliente_id"), "asesoria_id")
-    own = per_client.join(firm, "cliente_id")
-    company_side = own
-    firm_side = own.groupBy("asesoria_id").agg(F.sum("n").alias("n"))
-    users = d.usuarios
-    company = I.scope_to_users(company_side, users.filter((F.col("tipo_usuario") == "EMPRESA") & F.col("cliente_id").isNotNull()))
-    firm_users = users.filter(~((F.col("tipo_usuario") == "EMPRESA") & F.col("cliente_id").isNotNull())).select(
-        F.col("id").alias("usuario_id"), "asesoria_id")
-    both = company.select("usuario_id", "n").unionByName(firm_side.join(firm_users, "asesoria_id").select("usuario_id", "n"))
-    return both.groupBy("usuario_id").agg(F.sum("n").alias("visible"))
+    return I.visible_counts(d.facturas, d.clientes, d.usuarios)
 
 
 @query("action_violations", with_views(

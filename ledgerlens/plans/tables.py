@@ -13,6 +13,7 @@ from ..operators import numbering as N
 from ..operators import parties as P
 from ..operators import patch as T
 from ..operators import uploads as U
+from ..session import cut_lineage
 from .prelude import with_views
 from .registry import duck_ts, query, ts
 
@@ -231,7 +232,7 @@ def upload_duplicates(d):
     "SELECT doc_id, hash_archivo FROM uploads WHERE doc_id%2=1 AND hash_archivo IN (SELECT hash_archivo FROM uploads WHERE doc_id%2=0)", "uploads"))
 def upload_already_stored(d):
     """The odd half of the files arrives after the even half."""
-    u = d.uploads
+    u = cut_lineage(d.uploads.select("doc_id", "hash_archivo"))
     return U.already_stored(u.filter("doc_id % 2 = 1"), u.filter("doc_id % 2 = 0")).select("doc_id", "hash_archivo")
 
 
