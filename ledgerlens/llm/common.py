@@ -36,12 +36,18 @@ def fold(c: Column) -> Column:
     return F.crc32(c.cast("string").cast("binary"))
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: Has Spark delete the shuffle files of a query when the query ends.
+CLEAR = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut(df: DataFrame, clear: bool = False) -> DataFrame:
     """Reliable checkpoint in the folder that ``spark.checkpoint.dir`` names.
 
-    Where that is unset a temporary folder serves, but only if driver and executors are one process.
+    Where that is unset a temporary folder serves, but only if driver and executors are one process.  ``clear``: the
+    shuffle files behind ``df`` go once it is written, rather than when the driver happens to collect its garbage.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir", None)
         if shared is None:
@@ -49,7 +55,14 @@ def cut(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    if not clear:
+        return df.checkpoint(eager=True)
+    before = spark.conf.get(CLEAR, None)
+    spark.conf.set(CLEAR, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.unset(CLEAR) if before is None else spark.conf.set(CLEAR, before)
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
@@ -74,3 +87,27 @@ def kept(key: Any, make: Callable[[], Any]) -> Any:
     if key not in shelf:
         shelf[key] = make()
     return shelf[key]
+
+
+class Recent(dict):
+    """Answers a worker remembers, in two generations: when the young one is full it becomes the old one, and what is
+    asked again moves back.  Frequent keys thus stay while the many that occur once go; memory stays bounded."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit = limit
+        self.old: dict = {}
+
+    def missing(self, keys) -> list:
+        """Of ``keys``, those that must be learned; all others can be read from here afterwards."""
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+        new = []
+        for k in keys:
+            if k not in self:
+                if (found := self.old.get(k)) is None:
+                    new.append(k)
+                else:
+                    self[k] = found
+        return new

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, kept, slices, texts_of
+from .common import Recent, fold, kept, slices, texts_of
 
 FOLDS = 5
 THRESHOLD = 0.3
@@ -34,7 +34,8 @@ STATISTICS = (
     "letters", "capitals", "digits", "symbols", "marks", "bars", "shouted", "symbol_words", "digit_words", "mean_length", "distinct", "repeats",
     "top_word", "line_repeats", "worst_line", "words", "characters", "lines", "line_length", "long_words",
 )
-REMEMBERED = 400_000
+#: Words whose bucket and marks a worker remembers, twice.
+REMEMBERED = 150_000
 PUNCTUATION = frozenset(".,;:'\"-()?’“”")
 
 
@@ -59,16 +60,10 @@ def _word(word: str) -> int:
 
 
 def _packed(words: list[str]) -> np.ndarray:
-    known = kept("quality words", dict)
-    if len(known) > REMEMBERED:
-        known.clear()
-    try:
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-    except KeyError:
-        for w in words:
-            if w not in known:
-                known[w] = _word(w)
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+    known = kept("quality words", lambda: Recent(REMEMBERED))
+    for w in known.missing(set(words)):
+        known[w] = _word(w)
+    return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:

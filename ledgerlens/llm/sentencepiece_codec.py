@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,11 +22,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
-from .common import kept, slices, texts_of
+from .common import Recent, kept, slices, texts_of
 
 MARKER = "▁"
-#: Parts of texts a worker remembers; when full, it forgets all.
-REMEMBERED = 300_000
+#: Parts of texts a worker remembers, twice.
+REMEMBERED = 150_000
 ENCODED = "doc_id long, n_pieces long, ids array<int>, n_unknown long, round_trip boolean, parity boolean"
 #: Field numbers and piece kinds of the model format (fixed values).
 UNIGRAM, BPE = 1, 2
@@ -149,9 +150,9 @@ class Codec:
         self.unknown = self.library.unk_id()
         crossing = any(re.search(f"[^{MARKER}]{MARKER}", p) for p, _, kind in spec.pieces if kind in (NORMAL, USER_DEFINED))
         self.part = re.compile(f"{MARKER}*[^{MARKER}]+|{MARKER}+") if not crossing else re.compile(r"(?s).+")
-        self.remembered = remembered
-        self.known: dict[str, bytes] = {}  # ids as int32
-        self.differing: set[str] = set()
+        self.known: dict[str, bytes] = Recent(remembered)  # ids as 32-bit integers
+        self.differing: set[str] = set()  # parts whose ids are not the library's
+        self.lossy: set[str] = set()  # parts whose ids do not spell them
         self.bytes = {i: int(p[3:5], 16) for i, (p, _, kind) in enumerate(spec.pieces) if kind == BYTE}
         self.silent = {i for i, (_, _, kind) in enumerate(spec.pieces) if kind in (CONTROL, UNKNOWN)}
 
@@ -166,33 +167,31 @@ class Codec:
     def learn(self, parts: list[str]) -> None:
         """Encodes new parts in one batch and compares each with the library."""
         for part, e in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)):
-            self.known[part] = np.array(e.ids, np.int32).tobytes()
+            self.known[part] = array("i", e.ids).tobytes()
+            if self._spell(e.ids) != part:
+                self.lossy.add(part)
         # the library adds the dummy prefix itself; a lone marker is not a text it can be given
         prefix = self.spec.dummy_prefix
         asked = [p for p in parts if p != MARKER and (p[0] == MARKER or not prefix)]
         for part, ids in zip(asked, self.library.encode([p[prefix:].replace(MARKER, " ") for p in asked], num_threads=1)):
-            if self.known[part] != np.array(ids, np.int32).tobytes():
+            if self.known[part] != array("i", ids).tobytes():
                 self.differing.add(part)
 
-    def encode(self, texts: list[str]) -> tuple[list[str], list[np.ndarray], list[bool]]:
-        """Normalised texts, their ids, and whether every part of each agrees with the library."""
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool], list[bool]]:
+        """Ids of texts, whether they spell the normalised text, and whether they are the library's.
+
+        Both are known of each part, and a text is its parts: pieces and characters stay inside one.
+        """
         normal = [self.normalised(t) for t in texts]
         parts = [self.part.findall(t) for t in normal]
         seen = set().union(*parts)
-        new = [p for p in seen if p not in self.known]
-        if len(self.known) + len(new) > self.remembered:
-            self.known.clear(), self.differing.clear()
-            new = list(seen)
-        self.learn(sorted(new))
+        self.learn(sorted(self.known.missing(seen)))
         at = self.known.__getitem__
         ids = [np.frombuffer(b"".join(map(at, p)), np.int32) for p in parts]
-        return normal, ids, [not self.differing or self.differing.isdisjoint(p) for p in parts]
-
-    def spelled(self, ids: list[np.ndarray]) -> list[str]:
-        """Normalised texts that ids spell; unknown pieces and controls spell nothing."""
-        return [self._spell(x.tolist()) for x in ids]
+        return ids, [self.lossy.isdisjoint(p) for p in parts], [self.differing.isdisjoint(p) for p in parts]
 
     def _spell(self, ids: list[int]) -> str:
+        """Normalised text that ids spell; unknown pieces and controls spell nothing."""
         if self.bytes.keys().isdisjoint(ids):
             return "".join(map(self.names.__getitem__, ids))
         out = bytearray()
@@ -221,10 +220,9 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = kept(("sentencepiece", model), lambda: Codec(model))
-        for batch in slices(batches, 1024):
-            normal, ids, parity = codec.encode(texts_of(batch))
+        for batch in slices(batches):
+            ids, good, parity = codec.encode(texts_of(batch))
             unknown = [int((x == codec.unknown).sum()) for x in ids]
-            good = [s == n for s, n in zip(codec.spelled(ids), normal)]
             offsets = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
             flat = np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(

@@ -22,11 +22,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import kept, slices, texts_of
+from .common import Recent, kept, slices, texts_of
 
 LIMIT = 1024
-#: Units whose answer a worker remembers; when full, it forgets all and starts anew.
-REMEMBERED = 300_000
+#: Units and words whose answer a worker remembers, twice.
+REMEMBERED = 150_000
 #: Unicode white space, and the pattern byte-level BPE splits texts by.
 WHITE = "\t-\r \x85\xa0  -     　"
 WHITES = frozenset(filter(re.compile(f"[{WHITE}]").match, map(chr, range(0x3001))))
@@ -60,7 +60,7 @@ class PrefixCounter:
         self.pairs: dict[tuple[int, int], bool] = {}
         self.words: dict[str, list[int]] = {}
         self.newest: tuple[bytes, list[int], list[int]] = (b"", [-1], [0])
-        self.units: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = Recent(remembered)
         # the tokens at the left and right edge of a token while it grows, each with the rank at which it is merged away
         never = len(merges)
         self.left = {i: [(i, never)] for t, i in self.ids.items() if len(t) == 1}
@@ -160,12 +160,7 @@ class PrefixCounter:
         """``deltas`` of many texts.  New units are counted in their order: neighbours share most of their prefixes."""
         special = self.special_at.search if self.special_at else lambda text: None
         cut = [None if special(t) else UNIT.findall(t) for t in texts]
-        seen = set().union(*filter(None, cut))
-        new = [u for u in seen if u not in self.units]
-        if len(self.units) + len(new) > self.remembered:
-            self.units.clear()
-            new = list(seen)
-        for unit in sorted(new):
+        for unit in sorted(self.units.missing(set().union(*filter(None, cut)))):
             self.unit(unit)
         at = self.units.__getitem__
         return [self.deltas(t) if units is None else b"".join(map(at, units)) for t, units in zip(texts, cut)]
@@ -210,7 +205,7 @@ def token_prefixes(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = kept(("prefix counter", tokenizer), lambda: PrefixCounter(tokenizer))
-        for batch in slices(batches, 1024):
+        for batch in slices(batches):
             texts = texts_of(batch)
             stores = counter.stores(texts)
             yield pa.RecordBatch.from_arrays(

@@ -61,9 +61,9 @@ def test_counts_of_odd_rows(spark, odd, odd_rows, none, library):
 @settings(max_examples=300, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(TEXT)
 def test_pieces_are_the_library_s(codec, text):
-    _, (ids,), (parity,) = codec.encode([text])
+    (ids,), (same,), (parity,) = codec.encode([text])
     want = codec.library.encode(text)
-    assert ids.tolist() == want and parity
+    assert ids.tolist() == want and parity and same
     assert codec.decode(ids.tolist()) == codec.library.decode(want)
 
 
