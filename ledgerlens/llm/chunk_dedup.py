@@ -113,7 +113,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = docs.selectExpr(f"cast(`{id_col}` as long) doc", f"`{text_col}` text").where("doc is not null")
     held = chunk_rows(rows, average, longest, False).groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-    repeated = cut(held.where("first <> last").select("digest", "first"))
+    repeated = cut(held.where("first <> last").select("digest", "first"), clear=True)
     again = chunk_rows(rows, average, longest, True).join(repeated, "digest").where("doc <> first").distinct()
     by_place = Window.partitionBy("doc").orderBy("start")
     reach = F.max(F.col("start") + F.col("size")).over(by_place.rowsBetween(Window.unboundedPreceding, -1))
