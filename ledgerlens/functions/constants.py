@@ -11,7 +11,6 @@ INVOICE_STATES = (
 )
 JOB_STATES = ("PENDIENTE", "EN_PROCESO", "COMPLETADO", "ERROR")
 USER_ROLES = ("ADMIN", "CONTABILIDAD", "REVISOR", "LECTURA", "EMPRESA_UPLOAD")
-USER_TYPES = ("ASESORIA", "EMPRESA")
 CHANNELS = ("web", "mobile_camera", "mobile_gallery")
 
 EDITABLE_STATES = ("PENDIENTE_REVISION", "PROCESADA_IA", "RECHAZADA")
@@ -296,3 +295,24 @@ MSG_TICKET = (
     "El documento se ha tratado como ticket o factura simplificada. En este tipo de justificantes es "
     "normal que algunos datos fiscales o del cliente no aparezcan completos."
 )
+
+# --- fixed values: marks that recognisers put into page text ---------------------------------------
+MARKDOWN_MARKS = (
+    (r"(?m)^#{1,6}\s+", ""),
+    (r"\*{1,3}(.+?)\*{1,3}", "$1"),
+    (r"\[([^\]]+)\]\([^)]+\)", "$1"),
+    (r"!\[[^\]]*\]\([^)]+\)", ""),
+)
+MARKDOWN_RULE = r"^[-*_]{3,}\s*$"
+TABLE_RULE = r"^\|\s*[-:\s|]+\|?$"
+EMPTY_CELL = "---"
+
+# --- fixed values: labels and marks around a name --------------------------------------------------
+ID_LABEL_ANY = r"(?iU)[CND]\.?[IN]\.?[FI]"
+ID_LABEL_HEAD = r"(?iU)^(?:CIF|NIF|DNI|N\.?I\.?F\.?|C\.?I\.?F\.?)\s*:?\s*"
+ID_LABEL_TAIL = r"(?iU)\s*(?:CIF|NIF|DNI)\s*:?\s*$"
+NAME_MARKS = (
+    (r"^#{1,6}\s*", ""),
+    (r"\*{1,3}(.+?)\*{1,3}", "$1"),
+    (r"^\(\d+\)\s*", ""),
+)

@@ -220,14 +220,9 @@ def warning_groups(codes: Column) -> Column:
 def clean_markdown(c: Column) -> Column:
     """Strip heading, emphasis, link, image and rule marks that recognisers put into page text."""
     out = c
-    for pattern, repl in (
-        (r"(?m)^#{1,6}\s+", ""),
-        (r"\*{1,3}(.+?)\*{1,3}", "$1"),
-        (r"\[([^\]]+)\]\([^)]+\)", "$1"),
-        (r"!\[[^\]]*\]\([^)]+\)", ""),
-    ):
+    for pattern, repl in K.MARKDOWN_MARKS:
         out = F.regexp_replace(out, pattern, repl)
-    lines = F.filter(F.split(out, "\n"), lambda x: ~x.rlike(r"^[-*_]{3,}\s*$"))
+    lines = F.filter(F.split(out, "\n"), lambda x: ~x.rlike(K.MARKDOWN_RULE))
     return F.array_join(lines, "\n")
 
 
@@ -235,14 +230,14 @@ def table_cells(c: Column) -> Column:
     """A piped table as one cell per line, without its separator rows."""
     rows = F.filter(
         F.transform(F.split(c, r"\r?\n"), lambda r: F.trim(r)),
-        lambda r: (r != "") & ~r.rlike(r"^\|\s*[-:\s|]+\|?$"),
+        lambda r: (r != "") & ~r.rlike(K.TABLE_RULE),
     )
     cells = F.transform(
         rows,
         lambda r: F.when(
             r.contains("|"),
             F.filter(
-                F.transform(F.split(r, r"\|"), lambda x: F.trim(x)), lambda x: (x != "") & (x != "---")
+                F.transform(F.split(r, r"\|"), lambda x: F.trim(x)), lambda x: (x != "") & (x != K.EMPTY_CELL)
             ),
         ).otherwise(F.array(r)),
     )

@@ -254,6 +254,6 @@ class InvoiceQuery:
 
 
 def rows_of_page(rows: DataFrame, page: DataFrame, key: str = "factura_id") -> DataFrame:
-    """Rows that belong to the invoices of a page; a page holds at most its limit of ids."""
-    ids = page.select(F.col("id").alias(key))
-    return rows.join(F.broadcast(ids), key, "left_semi")
+    """Rows that belong to the invoices of a page.  A limit tells the planner the size of its ids, so that those of a usual
+    page are broadcast and those of a very large one are not."""
+    return rows.join(page.select(F.col("id").alias(key)), key, "left_semi")
