@@ -166,9 +166,11 @@ class Codec:
 
     def learn(self, parts: list[str]) -> None:
         """Encodes new parts in one batch and compares each with the library."""
+        names = self.names.__getitem__
         for part, e in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)):
-            self.known[part] = array("i", e.ids).tobytes()
-            if self._spell(e.ids) != part:
+            ids = e.ids
+            self.known[part] = array("i", ids).tobytes()
+            if "".join(map(names, ids)) != part and self._spell(ids) != part:
                 self.lossy.add(part)
         # the library adds the dummy prefix itself; a lone marker is not a text it can be given
         prefix = self.spec.dummy_prefix
@@ -185,10 +187,11 @@ class Codec:
         normal = [self.normalised(t) for t in texts]
         parts = [self.part.findall(t) for t in normal]
         seen = set().union(*parts)
-        self.learn(sorted(self.known.missing(seen)))
+        self.learn(self.known.missing(seen))
         at = self.known.__getitem__
         ids = [np.frombuffer(b"".join(map(at, p)), np.int32) for p in parts]
-        return ids, [self.lossy.isdisjoint(p) for p in parts], [self.differing.isdisjoint(p) for p in parts]
+        whole = lambda odd: [not odd or odd.isdisjoint(p) for p in parts]
+        return ids, whole(self.lossy), whole(self.differing)
 
     def _spell(self, ids: list[int]) -> str:
         """Normalised text that ids spell; unknown pieces and controls spell nothing."""
