@@ -1,5 +1,8 @@
 """Every stage on its own input against brute force, and the whole run."""
 
+import random
+import re
+
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -9,6 +12,7 @@ import corpus_pipeline as CP
 from ledgerlens.llm import quality_fm
 from ledgerlens.llm.string_tiling import WORD
 
+from .conftest import words
 from .test_duplicates import SPACE, Union, plain_drop, plain_fingerprint
 from .test_texts import plain_tiles
 
@@ -90,6 +94,44 @@ def test_simhash_dedup(outputs):
     assert key(out.collect()) == key([r for i, r in enumerate(rows) if r.doc_id is None or r.doc_id == least[u.find(i)]])
 
 
+def plain_shingles(text):
+    found = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    return {tuple(found[k : k + 5]) for k in range(max(1, len(found) - 4))} if found else set()
+
+
+def test_near_copies_have_similar_shingles(spark, tables):
+    rng, rows = random.Random(12), []
+    for k in range(12):
+        base = words(rng, 150).split()
+        for j in range(1 + k % 5):
+            changed = base.copy()
+            for at in rng.sample(range(150), j):
+                changed[at] = f"new{k}{j}{at}"
+            rows.append((len(rows), " ".join(changed)))
+    chain = [f"c{k}" for k in range(140)]
+    rows += [(1000 + k, " ".join(chain[5 * k : 5 * k + 80])) for k in range(12)]  # neighbours are similar, ends are not
+    rows += [(None, rows[3][1] + " more"), (3, words(rng, 60)), (2000, "one two"), (2001, "One  TWO"), (2002, "one three"), (2003, None), (2004, " ")]
+    real = [(r.doc_id, r.text) for r in spark.read.parquet(f"{tables}/documents.parquet").collect()]
+    differ = 0
+    for rows in (rows, real):
+        sets, u = [plain_shingles(t) for _, t in rows], Union()
+        for i, a in enumerate(sets):
+            u.find(i)
+            for j in range(i):
+                near = a == sets[j] or 10 * len(a & sets[j]) >= 8 * len(a | sets[j])
+                differ += near and a != sets[j]
+                if near or rows[i][0] is not None and rows[i][0] == rows[j][0]:
+                    u.join(i, j)
+        least = {}
+        for i, (doc_id, _) in enumerate(rows):
+            if doc_id is not None:
+                least[u.find(i)] = min(least.get(u.find(i), doc_id), doc_id)
+        want = [(str(d), t or "") for i, (d, t) in enumerate(rows) if d is None or d == least[u.find(i)]]
+        got = CP.simhash_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), tables)
+        assert key(got.collect()) == sorted(want)
+    assert differ > 20
+
+
 def test_decontaminate(spark, tables, outputs):
     docs, out = outputs["decontaminate"]
     items = [WORD.findall(r.text.lower()) for r in spark.read.parquet(f"{tables}/benchmark.parquet").collect() if r.text]
