@@ -125,3 +125,29 @@ def test_streams_alike_in_any_layout_and_batches(spark, sf_dir, folders, name):
         d.files_per_trigger = files
         rows.append(sorted(map(str, plan(d).collect())))
     assert rows[0] and rows[0] == rows[1] == rows[2]
+
+
+@pytest.fixture(scope="module")
+def shuffled(spark, sf_dir, tmp_path_factory):
+    """Events in files that each span the whole time; documents with ids far apart, copies first and last."""
+    base = tmp_path_factory.mktemp("shuffled")
+    spark.read.parquet(f"{sf_dir}/events.parquet").repartition(5, "event_id").write.parquet(f"{base}/events.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20)
+    for k in (2, 0, 1):
+        docs.withColumn("doc_id", F.col("doc_id") + k * 9_000_000).coalesce(1).write.mode("append").parquet(f"{base}/documents.parquet")
+        time.sleep(0.02)
+    return str(base)
+
+
+@pytest.mark.parametrize("name", ["throughput_per_minute", "upload_rate_limit", "jobs_stateful_stream", "throughput_over_50", "uploads_per_hour", "logins_per_15_min", "dedup_stream"])
+def test_no_row_is_late_in_shuffled_files(spark, shuffled, name):
+    import duckdb
+
+    registry.plans()
+    d = Domain(spark, shuffled)
+    d.files_per_trigger = 1
+    con = duckdb.connect()
+    for t in ("events", "documents"):
+        con.execute(f"create view {t} as select * from '{shuffled}/{t}.parquet/*.parquet'")
+    want = con.execute(registry.oracles()[name]).fetchall()
+    assert sorted(map(str, (tuple(r) for r in registry._PLANS[name](d).collect()))) == sorted(map(str, want))
