@@ -36,6 +36,8 @@ STATISTICS = (
 )
 #: Words whose bucket and marks a worker remembers, twice.
 REMEMBERED = 150_000
+#: Characters of a word whose counts fit the eight bits they are packed in.
+PACKED = 255
 PUNCTUATION = frozenset(".,;:'\"-()?’“”")
 
 
@@ -47,23 +49,36 @@ class Model:
     factors: np.ndarray
 
 
+def _marks(word: str) -> tuple[int, ...]:
+    """Bucket, letters, capitals, digits, symbols, length and marks of a whole word."""
+    letters = sum(c.isalpha() for c in word)
+    capitals = sum(c.isupper() for c in word)
+    digits = sum(c.isdigit() for c in word)
+    symbols = sum(not c.isalnum() and c not in PUNCTUATION for c in word)
+    ends = 1 * (symbols >= 2) | 2 * (capitals >= 2 and capitals == letters) | 4 * (digits > 0) | 8 * (word == "|") | 16 * word.endswith("!!") | 32 * (len(word) > 30)
+    bucket = xxhash.xxh32_intdigest(word.lower().strip(".,;:!?\"'()")) % BUCKETS
+    return bucket, letters, capitals, digits, symbols, len(word), ends
+
+
 def _word(word: str) -> int:
-    """Bucket and marks of a word, packed: bucket | letters << 16 | capitals << 24 | digits << 32 | symbols << 40 | length << 48 | marks << 56."""
-    part = word[:255]
-    letters = sum(c.isalpha() for c in part)
-    capitals = sum(c.isupper() for c in part)
-    digits = sum(c.isdigit() for c in part)
-    symbols = sum(not c.isalnum() and c not in PUNCTUATION for c in part)
-    ends = 1 * (symbols >= 2) | 2 * (capitals >= 2 and capitals == letters) | 4 * (digits > 0) | 8 * (part == "|") | 16 * part.endswith("!!") | 32 * (len(part) > 30)
-    bucket = xxhash.xxh32_intdigest(part.lower().strip(".,;:!?\"'()")) % BUCKETS
-    return bucket | letters << 16 | capitals << 24 | digits << 32 | symbols << 40 | len(part) << 48 | ends << 56
-
-
-def _packed(words: list[str]) -> np.ndarray:
+    """A word of up to ``PACKED`` characters: bucket | letters << 16 | capitals << 24 | digits << 32 | symbols << 40 | length << 48 | marks << 56."""
+    bucket, letters, capitals, digits, symbols, length, ends = _marks(word)
+    return bucket | letters << 16 | capitals << 24 | digits << 32 | symbols << 40 | length << 48 | ends << 56
+
+
+def _packed(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Words packed, and the counts (letters to length) of longer ones, which are packed without counts and not remembered."""
+    wide = [k for k, w in enumerate(words) if len(w) > PACKED] if max(map(len, words)) > PACKED else []
+    told = [_marks(words[k]) for k in wide]
+    if wide:
+        words = [w if len(w) <= PACKED else "" for w in words]
     known = kept("quality words", lambda: Recent(REMEMBERED))
     for w in known.missing(set(words)):
         known[w] = _word(w)
-    return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+    packed = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+    for k, (bucket, *_, ends) in zip(wide, told):
+        packed[k] = bucket | ends << 56
+    return packed, np.array([t[1:6] for t in told], np.int64).reshape(-1, 5).sum(axis=0)
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -73,8 +88,8 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     n = len(words)
     if not n:
         return np.zeros(0, np.int64), np.zeros(len(STATISTICS))
-    packed = _packed(words)
-    letters, capitals, digits, symbols, length = ((packed >> s & 255).sum() for s in (16, 24, 32, 40, 48))
+    packed, more = _packed(words)
+    letters, capitals, digits, symbols, length = ((packed >> s & 255).sum() + m for s, m in zip((16, 24, 32, 40, 48), more))
     ends = packed >> 56
     symbolic = ends & 1
     bucket = packed & (BUCKETS - 1)

@@ -48,6 +48,19 @@ def test_quality_learns_from_neither_fold_nor_other_columns(spark, odd, odd_rows
     assert quality_fm.score(none, model).count() == 0
 
 
+@pytest.mark.parametrize("tail", ["b" * 300, "B7" * 200, "漢" * 9000, "=/" * 400 + "!!", ""])
+def test_long_words_count_whole(tail):
+    word = "a" * 255 + tail
+    buckets, stats = quality_fm.features(f"{word} Two {word}")
+    got = dict(zip(quality_fm.STATISTICS, stats))
+    text = word * 2 + "Two"
+    for name, one in (("letters", str.isalpha), ("digits", str.isdigit), ("symbols", lambda c: not c.isalnum() and c not in quality_fm.PUNCTUATION)):
+        assert got[name] == pytest.approx(sum(map(one, text)) / len(text))
+    assert got["capitals"] == pytest.approx(sum(map(str.isupper, text)) / sum(map(str.isalpha, text))) and got["mean_length"] == pytest.approx(len(text) / 3)
+    assert got["marks"] == (2 / 3 if tail.endswith("!!") else 0)
+    assert not tail or set(buckets) != set(quality_fm.features("a" * 255 + " two")[0])
+
+
 def test_languages_on_held_out(spark, real):
     told = language_profiles.identify(real, language_profiles.learn(real)).join(real.select("doc_id", "lang"), "doc_id")
     rows = told.where(language_profiles.held_out(F.col("doc_id"))).collect()
