@@ -29,13 +29,18 @@ INLINE = frozenset(
 RAW = "script|style|noscript|template|iframe|object|svg|math|textarea|select|title"
 #: Elements that never hold the article, and words in class, id or role that say the same.
 APART = frozenset("nav footer aside form button dialog menu header head datalist audio video canvas".split())
-APART_WORD = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|aside|ad|ads|advert|adverts|advertisement|advertising|banner"
-    r"|sponsor|sponsored|promo|promotion|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login"
-    r"|comment|comments|commentlist|respond|replies|disqus|share|sharing|social|related|recommended|recommendations|widget|search|form|toolbar|pagination|pager"
-    r"|copyright|contentinfo|complementary|hidden)(?:$|[\s_-])",
-    re.I,
+APART_WORDS = frozenset(
+    "nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside ad ads advert adverts advertisement advertising banner"
+    " sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login"
+    " comment comments commentlist respond replies disqus share sharing social related recommended recommendations widget search form toolbar pagination pager"
+    " copyright contentinfo complementary hidden".split()
 )
+#: Words that may stand beside those in one class or id and change nothing; any other word makes it a name of its own.
+BESIDE = frozenset(
+    "site page main primary secondary global top bottom left right inner outer wrap wrapper container box block section area bar panel list item items link links"
+    " button buttons icon icons slot unit group post posts mobile desktop js".split()
+)
+HEADERS = frozenset(("header", "masthead"))
 MARKED = frozenset(("article", "main"))
 #: Opening one of these ends an open paragraph, and an item ends its open sibling.
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -47,18 +52,30 @@ PIECE = re.compile(
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
-def _apart(tag: str, attributes: str, in_article: bool) -> bool:
+def _names_apart(value: str, in_article: bool) -> bool:
+    """Is one of the classes or ids a name of what is apart, such as ``sidebar`` or ``cookie-notice``, but not ``has-sidebar``?"""
+    for token in value.lower().split():
+        parts = {p for p in re.split(r"[-_]+|\d+", token) if p}
+        said = parts & APART_WORDS
+        if said and parts <= APART_WORDS | BESIDE and not (in_article and said <= HEADERS):
+            return True
+    return False
+
+
+def _apart(tag: str, attributes: str, in_article: bool) -> int:
+    """0: not apart; 1: apart by its name or as a form, unless it holds the article; 2: apart with all it holds."""
     if tag in APART:
-        return not (tag == "header" and in_article)
+        return 0 if tag == "header" and in_article else 1 if tag == "form" else 2
     if not attributes.strip() or tag in ("html", "body", "article", "main"):
-        return tag == "article" and any(re.search(r"comment|reply", v or w or x, re.I) for _, v, w, x in ATTRIBUTE.findall(attributes))
+        return 2 * (tag == "article" and any(re.search(r"comment|reply", v or w or x, re.I) for _, v, w, x in ATTRIBUTE.findall(attributes)))
+    named = 0
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
-        if name in ("class", "id", "role", "itemprop") and APART_WORD.search(value):
-            return True
+        if name in ("class", "id", "role", "itemprop") and _names_apart(value, in_article):
+            named = 1
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return False
+            return 2
+    return named
 
 
 class _Lines:
@@ -68,8 +85,8 @@ class _Lines:
         self.lines: list[tuple[str, int, bool, bool]] = []
         self.parts: list[str] = []
         self.linked = 0
-        self.stack: list[tuple[str, bool]] = []  # open elements, and whether each is apart
-        self.apart = self.marked = self.links = 0
+        self.stack: list[tuple[str, int]] = []  # open elements, and how each is apart
+        self.apart = self.named = self.marked = self.links = 0
 
     def end(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -77,15 +94,20 @@ class _Lines:
             self.lines.append((text, min(self.linked, len(text)), self.apart > 0, self.marked > 0))
         self.parts, self.linked = [], 0
 
-    def push(self, tag: str, apart: bool) -> None:
+    def push(self, tag: str, apart: int) -> None:
+        if tag in MARKED and not apart and self.named:  # what holds the article is not apart
+            self.stack = [(t, 0 if how == 1 else how) for t, how in self.stack]
+            self.apart, self.named = self.apart - self.named, 0
         self.stack.append((tag, apart))
-        self.apart += apart
+        self.apart += apart > 0
+        self.named += apart == 1
         self.marked += tag in MARKED
         self.links += tag == "a"
 
     def pop(self) -> None:
         tag, apart = self.stack.pop()
-        self.apart -= apart
+        self.apart -= apart > 0
+        self.named -= apart == 1
         self.marked -= tag in MARKED
         self.links -= tag == "a"
 
@@ -106,7 +128,8 @@ class _Lines:
                     break
         self.push(tag, _apart(tag, attributes, self.marked > 0))
         if not block and self.stack[-1][1]:
-            self.stack[-1] = (tag, False)  # an inline element apart would cut its line: count it as its line's text
+            self.named -= self.stack[-1][1] == 1
+            self.stack[-1] = (tag, 0)  # an inline element apart would cut its line: count it as its line's text
             self.apart -= 1
 
     def close(self, tag: str) -> None:
@@ -175,7 +198,12 @@ def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
     else:
         sums = np.convolve(weights, np.ones(window, np.int64)) if len(weights) else weights
         surge = min(surge, int(sums.max(initial=0)))
-    keep = [t for a, b in spans(weights, window, surge) for t, _, apart, inside in lines[a:b] if not apart and (inside or not marked)]
+    found = spans(weights, window, surge)
+    keep = [t for a, b in found for t, _, apart, inside in lines[a:b] if not apart and (inside or not marked)]
+    if not marked and found:  # short paragraphs between the first surge and the last dive are text as well
+        within = {k for a, b in found for k in range(a, b)}
+        between = range(found[0][0], found[-1][1])
+        keep = [lines[k][0] for k in between if not lines[k][2] and (k in within or weights[k] > 0)]
     return " ".join(keep)
 
 

@@ -172,6 +172,32 @@ def test_odd_pages(page, want):
     assert main_text(page) == want
 
 
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-sidebar", "content-with-sidebar", "search-results", "sidebar", "page-header"])
+def test_wrappers_are_not_apart(name):
+    assert main_text(f"<div class='{name}'><p>menu</p><article><p>The text.</p></article><p>more</p></div>") == "The text."
+    assert main_text(f"<main><div id='{name}'><article>The text.</article></div></main>") == "The text."
+    if name not in ("sidebar", "page-header"):
+        assert main_text(f"<div class='{name}'><p>{'long text ' * 12}</p></div>") == ("long text " * 12).strip()
+
+
+@pytest.mark.parametrize("name", ["sidebar", "sidebar-left", "cookie-notice", "ad_slot", "site-footer x", "ad-300"])
+def test_names_that_are_apart(name):
+    assert main_text(f"<div class='{name}'><p>{'long text ' * 12}</p></div><p>kept</p>") == "kept"
+    assert main_text(f"<article><p>kept<div class='{name}'>no</div></article>") == "kept"
+
+
+def test_headers_inside_articles_stay():
+    for name in ("entry-header", "article-header", "header"):
+        assert main_text(f"<article><div class='{name}'><h1>Head</h1></div><p>Text.</p></article>") == "Head Text."
+    assert main_text("<form><main>Text.<form>no</form></main></form>") == "Text."
+
+
+def test_short_paragraphs_between_surges_stay():
+    menu, long = "<p><a href=/x>link</a></p>" * 4, "<p>" + "long text " * 12 + "</p>"
+    want = " ".join(["long text " * 12, "Short one.", "long text " * 12]).split()
+    assert main_text(f"<p>off</p>{menu}{long}{menu}<p>Short one.</p>{menu}{long}{menu}<p>off</p>").split() == want
+
+
 def test_surge_and_dive():
     weights = np.array([0, 5, 0, 0, 0, 90, 0, 3, 80, 0, 0, 0, 7])
     assert spans(weights, 3, 80) == [(5, 9)] and spans(weights, 3, 1) == [(1, 2), (5, 9), (12, 13)]
