@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from . import language_profiles, nn_descent, quality_fm
 from .chunk_dedup import substring_repeats
 from .common import table
+from .conversation_repair import damaged, repair, summaries
 from .line_blocks import extract_main_text
 from .line_dedup import drop_lines
+from .nra_search import search
+from .prefix_hashes import fingerprints
 from .sentencepiece_codec import encode_documents
 from .simhash_tiles import near_duplicates
 from .string_tiling import contaminated
@@ -99,3 +102,42 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_line_blocks")
 def op10_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op11_conversation_repair")
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return summaries(repair(damaged(turns)), turns)
+
+
+OP12_SQL = r"""
+with term_lists as (
+    select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ts
+    from documents where text is not null
+),
+docs as (select doc_id, ts, len(ts)::bigint as n from term_lists where len(ts) > 0),
+total as (select count(*)::bigint as n_docs, sum(n)::bigint as all_terms from docs),
+tfs as (select doc_id, n, term, count(*)::bigint as tf from (select doc_id, n, unnest(ts) as term from docs) u group by all),
+wanted as (
+    select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+    from benchmark
+),
+weights as (select term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::bigint as w from tfs, total group by term, n_docs),
+scored as (
+    select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // all_terms))))::bigint as score
+    from wanted join tfs using (term) join weights using (term), total group by item_id, doc_id
+)
+select item_id, rank, doc_id, score
+from (select *, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from scored where score > 0) r where rank <= 10
+"""
+
+
+@query("op12_nra_search", OP12_SQL)
+def op12_nra_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_prefix_hashes")
+def op13_prefix_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
