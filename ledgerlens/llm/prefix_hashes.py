@@ -5,7 +5,8 @@ any span is a difference of two entries, brought back to position 0 by a power o
 these agree, and the longest common extension of two positions is found by binary search.
 
 A fingerprint is the hash and length of the whole text and the least ``SLOTS`` mixed hashes of its spans of ``SPAN`` code
-points.  The likeness of two fingerprints estimates the share of spans that their texts have in common.
+points, each with its number among the equal spans of a block.  The likeness of two fingerprints estimates the share of spans
+that their texts have in common, repeats counted.
 """
 
 from __future__ import annotations
@@ -103,20 +104,42 @@ def _least(values: np.ndarray, slots: int) -> np.ndarray:
     return np.unique(values)[:slots]
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h * MIX
+    return (h ^ (h >> np.uint64(29))) * MIX
+
+
+def _numbered(hashes: np.ndarray) -> np.ndarray:
+    """Mixed hashes in which the second, third, ... of equal ones differ from the first."""
+    h = np.sort(hashes)
+    again = np.flatnonzero(h[1:] == h[:-1]) + 1
+    out = _mixed(h)
+    if len(again):
+        starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        number = again - starts[np.searchsorted(starts, again, "right") - 1]
+        out[again] = _mixed(out[again] ^ number.astype(np.uint64))
+    return out
+
+
+def span_of(n: int, span: int = SPAN) -> int:
+    """Length of the spans of a text: shorter for texts that have fewer than four of ``span``."""
+    return min(span, max(1, n // 4))
+
+
 def fingerprint(codes: np.ndarray, span: int = SPAN, slots: int = SLOTS) -> tuple[int, int, np.ndarray]:
-    """Length, hash of all, and the least mixed span hashes (high 32 bits); a text below ``span`` is one span.
+    """Length, hash of all, and the least mixed hashes of numbered spans (high 32 bits).
 
     The prefix array is built a block at a time, so memory does not grow with the text.
     """
     n, hashes, least = len(codes), [0, 0], np.zeros(0, np.uint64)
+    span = span_of(n, span)
     for at in range(0, n, BLOCK):
         here = PrefixHashes(codes[at : at + BLOCK + span - 1])
         inside = min(BLOCK, n - at)
         for k, base in enumerate(BASES):
             hashes[k] = (hashes[k] + pow(base, at, int(P)) * int(here.prefix[k][inside])) % int(P)
-        if here.n >= span or not at:
-            h = here.windows(min(span, here.n)) * MIX
-            h = (h ^ (h >> np.uint64(29))) * MIX
+        if here.n >= span:
+            h = _numbered(here.windows(span))
             least = _least(np.concatenate([least, _least(h, slots)]) if at else h, slots)
     return n, hashes[0] << 31 | hashes[1], least >> np.uint64(32)
 

@@ -251,22 +251,32 @@ def test_spans_and_common_extensions():
     assert x.whole() == sum(c * pow(PH.BASES[0], k, 2**31 - 1) for k, c in enumerate(code)) % (2**31 - 1) << 31 | sum(c * pow(PH.BASES[1], k, 2**31 - 1) for k, c in enumerate(code)) % (2**31 - 1)
 
 
-def test_fingerprint_does_not_depend_on_blocks(monkeypatch):
+def numbered_spans(text, n, block):
+    """Spans with their number among equal ones of the same block."""
+    out = set()
+    for at in range(0, len(text), block):
+        seen = collections.Counter()
+        for k in range(at, min(at + block, len(text) - n + 1)):
+            seen[text[k : k + n]] += 1
+            out.add((text[k : k + n], seen[text[k : k + n]]))
+    return out
+
+
+@pytest.mark.parametrize("block", [PH.SPAN, 64, 1000, 1 << 15])
+def test_fingerprint_by_blocks(monkeypatch, block):
+    monkeypatch.setattr(PH, "BLOCK", block)
     rng = random.Random(9)
-    text = words(rng, 400)
-    whole = PH.fingerprint(PH.codes_of(text))
-    assert whole[1] == PH.PrefixHashes(PH.codes_of(text)).whole()
-    for block in (PH.SPAN, 64, 1000):
-        monkeypatch.setattr(PH, "BLOCK", block)
-        for t in (text, text[:64], text[:65], text[: 64 + PH.SPAN - 1], "", "abc"):
-            mark = PH.fingerprint(PH.codes_of(t))
-            monkeypatch.setattr(PH, "BLOCK", 1 << 15)
-            assert PH.written(mark) == PH.written(PH.fingerprint(PH.codes_of(t)))
-            monkeypatch.setattr(PH, "BLOCK", block)
-    spans = {text[k : k + PH.SPAN] for k in range(len(text) - PH.SPAN + 1)}
-    other = text[:1000] + words(rng, 200)
-    theirs = {other[k : k + PH.SPAN] for k in range(len(other) - PH.SPAN + 1)}
-    assert abs(PH.likeness(whole, PH.fingerprint(PH.codes_of(other))) - len(spans & theirs) / len(spans | theirs)) < 0.2
+    text, junk = words(rng, 400), "again and " * 150
+    texts = [text, text[:1000] + words(rng, 200), text[300:], junk, junk[:700] + text[:700], text[:30], text[:34] + "x", "abcdefgh", "abcdxyzw", "abc", "a", ""]
+    marks = [PH.fingerprint(PH.codes_of(t)) for t in texts]
+    for t, mark in zip(texts, marks):
+        assert mark[1] == PH.PrefixHashes(PH.codes_of(t)).whole() and mark[0] == len(t) and len(set(mark[2].tolist())) == len(mark[2])
+        assert len(mark[2]) == min(PH.SLOTS, len(numbered_spans(t, PH.span_of(len(t)), block)))
+    for t, x in zip(texts, marks):
+        for u, y in zip(texts, marks):
+            if PH.span_of(len(t)) == PH.span_of(len(u)) and t and u:
+                a, b = (numbered_spans(v, PH.span_of(len(v)), block) for v in (t, u))
+                assert abs(PH.likeness(x, y) - len(a & b) / len(a | b)) <= (0.25 if len(a | b) > PH.SLOTS else 1e-9)
 
 
 def plain_marks(rows):
