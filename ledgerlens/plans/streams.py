@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..streaming import operations as S
-from ..streaming.core import drain, in_time_order, newest, shared_folder, table_stream
+from ..streaming.core import drain, shared_folder, table_stream
 from ..streaming.jobs import track_jobs
 from .prelude import with_views
 from .registry import duck_ts, query, ts
@@ -18,12 +18,6 @@ def _events(d):
     return table_stream(d.spark, d.dir, "events", d.files_per_trigger).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _in_time(d):
-    """Events in files that follow one another in time: no row is late, however the table's own files lie."""
-    base = in_time_order(d.spark, d.dir, "events", "ts")
-    return table_stream(d.spark, base, "events", d.files_per_trigger).withColumn("ts", F.col("ts").cast("timestamp"))
-
-
 def _audit(d):
     kind = F.col("event_type")
     accion = (
@@ -34,26 +28,20 @@ def _audit(d):
 
 @query("throughput_per_minute", f"SELECT {duck_ts('minute')} AS minute, count(*) AS n, count(*)>1 AS over_limit FROM (SELECT date_trunc('minute', ts) AS minute FROM events) GROUP BY minute")
 def throughput_per_minute(d):
-    table, _ = drain(S.throughput(_in_time(d), limit=1), "throughput")
-    return newest(table, "minute").select(ts("minute").alias("minute"), "n", "over_limit")
+    return S.throughput(_events(d), limit=1).select(ts("minute").alias("minute"), "n", "over_limit")
 
 
 @query("upload_rate_limit", f"""SELECT user_id, {duck_ts('start')} AS start, n FROM (SELECT user_id, time_bucket(INTERVAL 5 MINUTE, ts) - INTERVAL 5 MINUTE * i AS start, count(*) AS n
     FROM events, (SELECT unnest(range(12)) AS i) GROUP BY 1,2) WHERE n>1""")
 def upload_rate_limit(d):
-    table, _ = drain(S.rate_limits(_in_time(d), 1, "1 hour", "5 minutes"), "limits")
-    return newest(table, "user_id", "start").select("user_id", ts("start").alias("start"), "n")
+    return S.rate_limits(_events(d), 1, 60, 5).select("user_id", ts("start").alias("start"), "n")
 
 
 @query("dedup_stream", "SELECT sha256(text) AS hash_archivo FROM documents GROUP BY 1")
 def dedup_stream(d):
     docs = table_stream(d.spark, d.dir, "documents", d.files_per_trigger).select(
         F.sha2("text", 256).alias("hash_archivo"), F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60).alias("ts"))
-    # never less than the time that the table spans, so that no copy is late and no hash leaves the state
-    ends = d.table("documents").agg(F.min("doc_id"), F.max("doc_id")).first()
-    days = max(3650, ((ends[1] or 0) - (ends[0] or 0)) // 1440 + 1)
-    table, _ = drain(S.dedup_uploads(docs, f"{days} days"), "dedup", mode="append")
-    return table.select("hash_archivo")
+    return S.dedup_uploads(docs).table().select("hash_archivo")
 
 
 @query("live_counts_stream", with_views(
@@ -79,9 +67,7 @@ def jobs_stateful_stream(d):
     """The events of a user stand for those of one job."""
     kind = F.col("event_type")
     estado = F.when(kind == "view", "PENDIENTE").when(kind == "click", "EN_PROCESO").when(kind == "error", "ERROR").otherwise("COMPLETADO")
-    events = _in_time(d).select(F.col("user_id").alias("factura_id"), estado.alias("estado"), F.unix_millis("ts").alias("ms"), "ts")
-    table, _ = drain(track_jobs(events), "jobs", mode="append")
-    return table.select("factura_id", "estado", F.unix_millis("at").alias("ms"), "recovered")
+    return track_jobs(_events(d).select(F.col("user_id").alias("factura_id"), estado.alias("estado"), F.unix_millis("ts").alias("ms")))
 
 
 @query("late_rows_stream", """WITH e AS (SELECT epoch_us(ts) AS u FROM events), m AS (SELECT max(u) AS newest, (min(u)//1000000 + max(u)//1000000)/2 AS middle FROM e)
@@ -113,17 +99,15 @@ def throughput_over_50(d):
     """The documented limit of fifty a minute.  Time runs as its square root, so that minutes fill up."""
     start = 1704067200
     squeezed = F.timestamp_seconds(F.lit(start) + 60 * F.floor(F.sqrt(F.floor((F.unix_micros("ts") - start * 1_000_000) / 60_000_000))))
-    table, _ = drain(S.throughput(_in_time(d).withColumn("ts", squeezed)), "throughput-50")
-    return newest(table, "minute").select(ts("minute").alias("minute"), "n", "over_limit")
+    return S.throughput(_events(d).withColumn("ts", squeezed)).select(ts("minute").alias("minute"), "n", "over_limit")
 
 
-def _limited(d, name, n, width, scale):
+def _limited(d, n, minutes, scale):
     """User actions with time run faster by ``scale``, so that users go over the limit."""
-    log = _in_time(d)
+    log = _events(d)
     start = F.lit("2024-01-01 00:00:00").cast("timestamp")
     fast = F.timestamp_micros((F.unix_micros(start) + F.floor((F.unix_micros("ts") - F.unix_micros(start)) / scale)).cast("long"))
-    table, _ = drain(S.rate_limits(log.withColumn("ts", fast), n, width, width), name)
-    return newest(table, "user_id", "start").select("user_id", ts("start").alias("start"), "n")
+    return S.rate_limits(log.withColumn("ts", fast), n, minutes, minutes).select("user_id", ts("start").alias("start"), "n")
 
 
 def _limited_sql(n, minutes, scale):
@@ -133,9 +117,9 @@ def _limited_sql(n, minutes, scale):
 
 @query("uploads_per_hour", _limited_sql(K.UPLOADS_PER_HOUR, 60, 400))
 def uploads_per_hour(d):
-    return _limited(d, "uploads-hour", K.UPLOADS_PER_HOUR, "1 hour", 400)
+    return _limited(d, K.UPLOADS_PER_HOUR, 60, 400)
 
 
 @query("logins_per_15_min", _limited_sql(K.LOGINS_PER_15_MIN, 15, 400))
 def logins_per_15_min(d):
-    return _limited(d, "logins", K.LOGINS_PER_15_MIN, "15 minutes", 400)
+    return _limited(d, K.LOGINS_PER_15_MIN, 15, 400)

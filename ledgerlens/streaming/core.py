@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import shared_root
@@ -31,23 +29,6 @@ def table_stream(spark: SparkSession, sf_dir: str, table: str, files_per_trigger
     return reader.parquet(f"{sf_dir}/{table}.parque[t]")
 
 
-def in_time_order(spark: SparkSession, sf_dir: str, table: str, column: str) -> str:
-    """The folder of a copy of the table whose files follow one another in ``column``, and so do their modification times.
-
-    A stream takes files by modification time, and a watermark drops what is older than the batches before.
-    """
-    base, rows = shared_folder(spark, "ordered"), spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    parts = max(rows.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows.repartitionByRange(parts, column).write.parquet(f"{base}/{table}.parquet")
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{table}.parquet")
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files = [f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")]
-    start = int(time.time()) * 1000
-    for k, path in enumerate(sorted(files, key=lambda f: int(f.getName().split("-")[1]))):
-        fs.setTimes(path, start + 1000 * k, -1)
-    return base
-
-
 def drain(stream: DataFrame, name: str, mode: str = "update", shape=None):
     """Run a stream over what is there now.  Each micro-batch, after ``shape``, is written to its own folder by
     overwrite, so a batch that runs twice leaves one copy.  Returns the sink table (with ``batch``) and the
@@ -71,10 +52,3 @@ def drain(stream: DataFrame, name: str, mode: str = "update", shape=None):
     )
     query.awaitTermination()
     return spark.read.schema(schema).parquet(sink), query
-
-
-def newest(table: DataFrame, *keys: str) -> DataFrame:
-    """Last version of each key in an update sink."""
-    values = [c for c in table.columns if c not in (*keys, "batch")]
-    last = table.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v"))
-    return last.select(*keys, "_v.*")

@@ -2,18 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from .core import shared_folder
+from .core import ROCKSDB, shared_folder
+from .deltas import MERGE_EVERY, DeltaStore, drain_into, remove
 
 LATE = "rows long, late long, newest long, batch long"
 
 
-def dedup_uploads(uploads: DataFrame, delay: str = "30 days") -> DataFrame:
-    """First copy of each content within the delay; older hashes leave the state."""
-    return uploads.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["hash_archivo"])
+def _day(c: str) -> Column:
+    """Day of a time as text, the bucket that a merge rewrites."""
+    return F.coalesce(F.date_format(c, "yyyy-MM-dd"), F.lit("none"))
+
+
+def dedup_uploads(uploads: DataFrame, recent: str = "1 hour", merge_every: int = MERGE_EVERY, digits: int = 2) -> DeltaStore:
+    """Each content once, with the time it was first met (``hash_archivo``, ``ts``), however far apart its copies are.
+
+    Two tiers: the state of the stream holds the hashes of the last while by arrival, so repeated uploads go early and
+    nothing is late; what it lets pass meets the store of all hashes, of which only the parts with its prefixes are read.
+    """
+
+    def shape(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("hash_archivo").agg(F.min("ts").alias("ts")).withColumn("bucket", F.left("hash_archivo", F.lit(digits)))
+
+    store = DeltaStore(uploads, "dedup", shape, {"ts": "min"}, merge_every)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        # what has come is written once: each reading of the batch itself would run the state again
+        arrived = f"{store.folder}/arrived/batch={batch_id}"
+        shape(batch).write.mode("overwrite").parquet(arrived)
+        new = store.spark.read.schema("hash_archivo string, ts timestamp, bucket string").parquet(arrived)
+        if batch_id > 0:
+            prefixes = [r[0] for r in new.select("bucket").distinct().collect()]  # 16 ** digits at most
+            new = new.join(store.rows(prefixes, before=batch_id).select("hash_archivo"), "hash_archivo", "left_anti")
+            remove(f"{store.folder}/arrived/batch={batch_id - 1}")
+        store.append(new.select("hash_archivo", "ts", "bucket"), batch_id)
+
+    uploads.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    seen = uploads.withColumn("_seen", F.current_timestamp()).withWatermark("_seen", recent)
+    return drain_into(store, seen.dropDuplicatesWithinWatermark(["hash_archivo"]).drop("_seen"), write)
 
 
 def last_states(audit: DataFrame) -> DataFrame:
@@ -34,36 +63,53 @@ def newest_rows(batch: DataFrame, n: int) -> DataFrame:
     return batch.orderBy(F.col("ts").desc(), F.col("id").desc()).limit(n)
 
 
-def throughput(stream: DataFrame, limit: int = K.SCALE_OUT_PER_MINUTE, late: str = "10 minutes") -> DataFrame:
-    """Arrivals per minute, and whether they exceed what one worker takes."""
-    per = stream.withWatermark("ts", late).groupBy(F.window("ts", "1 minute")).agg(F.count(F.lit(1)).alias("n"))
-    return per.select(F.col("window.start").alias("minute"), "n", (F.col("n") > limit).alias("over_limit"))
+def throughput(stream: DataFrame, limit: int = K.SCALE_OUT_PER_MINUTE, merge_every: int = MERGE_EVERY) -> DataFrame:
+    """Arrivals per minute, and whether they exceed what one worker takes.  Rows may come in any order."""
+
+    def shape(rows: DataFrame) -> DataFrame:
+        minute = F.date_trunc("minute", "ts").alias("minute")
+        return rows.groupBy(minute).agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", _day("minute"))
+
+    store = drain_into(DeltaStore(stream, "throughput", shape, {"n": "sum"}, merge_every), stream)
+    return store.table().select("minute", "n", (F.col("n") > limit).alias("over_limit"))
+
 
+def rate_limits(stream: DataFrame, n: int, width: int, slide: int, merge_every: int = MERGE_EVERY) -> DataFrame:
+    """Sliding windows of ``width`` minutes, one every ``slide``, in which a user goes beyond ``n`` actions.
 
-def rate_limits(stream: DataFrame, n: int, width: str, slide: str, late: str = "10 minutes") -> DataFrame:
-    """Sliding windows in which a user goes beyond ``n`` actions."""
-    per = stream.withWatermark("ts", late).groupBy("user_id", F.window("ts", width, slide)).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    return per.filter(F.col("n") > n).select("user_id", F.col("window.start").alias("start"), "n")
+    The deltas count panes of ``slide`` minutes; a window is the sum of the panes it spans.  Rows may come in any order.
+    """
+    if width % slide:
+        raise ValueError("width must be a multiple of slide")
+
+    def shape(rows: DataFrame) -> DataFrame:
+        pane = F.window("ts", f"{slide} minutes")["start"].alias("pane")
+        return rows.groupBy("user_id", pane).agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", _day("pane"))
+
+    panes = drain_into(DeltaStore(stream, "limits", shape, {"n": "sum"}, merge_every), stream).table()
+    if width > slide:
+        back = F.explode(F.sequence(F.lit(0), F.lit(width // slide - 1))).alias("back")
+        starts = panes.select("user_id", "pane", "n", back)
+        start = F.timestamp_micros(F.unix_micros("pane") - F.col("back").cast("long") * slide * 60_000_000)
+        panes = starts.groupBy("user_id", start.alias("pane")).agg(F.sum("n").alias("n"))
+    return panes.where(F.col("n") > n).select("user_id", F.col("pane").alias("start"), "n")
 
 
 def late_rows(stream: DataFrame, minutes: int = 10) -> DataFrame:
-    """One row per micro-batch: ``batch``, ``rows``, ``late``, ``newest``.
+    """One row per micro-batch: ``batch``, ``rows``, ``late``, ``newest`` (event time so far).
 
     A row is late if its minute ended before the watermark, the newest event time of the batches before less ``minutes``.
-    The watermark is read from what those batches wrote, so a batch that runs twice counts the same.
+    That time is the one row which the batch before wrote, so a batch that runs twice counts the same.
     """
     spark, sink = stream.sparkSession, f"{shared_folder(stream.sparkSession, 'late')}/table"
     ends = F.unix_micros("ts") - F.pmod(F.unix_micros("ts"), F.lit(60_000_000)) + 60_000_000
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        seen = None
-        if batch_id > 0:
-            seen = spark.read.schema(LATE).parquet(sink).filter(F.col("batch") < batch_id).agg(F.max("newest").alias("m")).first()["m"]
+        seen = spark.read.schema(LATE).parquet(f"{sink}/batch={batch_id - 1}").first()["newest"] if batch_id > 0 else None
         mark = None if seen is None else seen - minutes * 60_000_000
         late = F.lit(0).cast("long") if mark is None else F.count_if(ends <= mark)
-        counted = batch.agg(F.count(F.lit(1)).alias("rows"), late.alias("late"), F.max(F.unix_micros("ts")).alias("newest"))
+        newest = F.greatest(F.max(F.unix_micros("ts")), F.lit(seen).cast("long"))
+        counted = batch.agg(F.count(F.lit(1)).alias("rows"), late.alias("late"), newest.alias("newest"))
         counted.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
     query = stream.writeStream.option("checkpointLocation", f"{sink}-checkpoint").foreachBatch(write).trigger(availableNow=True).start()
