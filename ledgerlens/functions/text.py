@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import constants as K
+from .forms import nfkc
 
 # Latin letters, spaces, super/subscripts, letter-like signs and full-width ASCII.
 _RANGES = ((0xA0, 0x24F), (0x1E00, 0x1EFF), (0x2000, 0x209F), (0x2100, 0x214F), (0x3000, 0x3000), (0xFF01, 0xFF5E))
@@ -31,19 +32,6 @@ def _fold_table(form: str, strip_marks: bool) -> tuple[str, str]:
     return "".join(source) + (_MARKS if strip_marks else ""), "".join(target)
 
 
-@lru_cache(maxsize=None)
-def _expansions() -> tuple[tuple[str, str], ...]:
-    """Compatibility characters that unfold into several (ligatures, fractions, ellipsis, trade mark)."""
-    extra = [(0xFB00, 0xFB06)]
-    out = []
-    for low, high in list(_RANGES) + extra:
-        for code in range(low, high + 1):
-            folded = unicodedata.normalize("NFKC", chr(code))
-            if len(folded) > 1 and not any(unicodedata.combining(c) for c in folded):
-                out.append((chr(code), folded))
-    return tuple(out)
-
-
 def _unless_ascii(c: Column, folded: Column) -> Column:
     """Most text has no character to fold; counting bytes tells faster than looking each one up."""
     return F.when(F.octet_length(c) == F.length(c), c).otherwise(folded)
@@ -70,68 +58,6 @@ def fold_compat(c: Column) -> Column:
     return _unless_ascii(c, F.translate(c, *_fold_table("NFKD", True)))
 
 
-@lru_cache(maxsize=None)
-def _compositions() -> tuple[tuple[str, str, str], ...]:
-    """Per combining mark the letters it joins and the joined letters, as pairs of ``translate`` arguments."""
-    found: dict[str, tuple[list[str], list[str]]] = {}
-    for code in range(0xA0, 0x10000):
-        parts = unicodedata.decomposition(chr(code)).split(" ")
-        if len(parts) == 2 and not parts[0].startswith("<") and unicodedata.normalize("NFC", chr(code)) == chr(code):
-            base, mark = (chr(int(p, 16)) for p in parts)
-            if unicodedata.combining(mark):
-                bases, joined = found.setdefault(mark, ([], []))
-                bases.append(base), joined.append(chr(code))
-    return tuple((mark, "".join(b), "".join(j)) for mark, (b, j) in sorted(found.items()))
-
-
-def compose(c: Column) -> Column:
-    """Join letters with the combining marks that follow them, as far as one character exists for both.
-
-    Marks are taken one after the other, twice, since a letter may carry two in either order.  Text without marks is
-    only tested.
-    """
-    names = ("mark", "bases", "joined")
-    table = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(names, row)]) for row in _compositions() * 2])
-
-    def step(text: Column, row: Column) -> Column:
-        parts = F.split(text, row["mark"], -1)
-
-        def part(p: Column, i: Column) -> Column:
-            base = F.right(p, F.lit(1))
-            done = F.call_function("translate", base, row["bases"], row["joined"])
-            fused = F.when(done == base, F.concat(p, row["mark"])).otherwise(F.concat(F.substring(p, F.lit(1), F.length(p) - 1), done))
-            return F.when(i == F.size(parts) - 1, p).otherwise(fused)
-
-        return F.when(F.contains(text, row["mark"]), F.array_join(F.transform(parts, part), "")).otherwise(text)
-
-    return F.when(c.rlike(r"\p{Mn}"), F.aggregate(table, c, step)).otherwise(c)
-
-
-def nfkc(c: Column) -> Column:
-    """NFKC: one-to-one folds, expansions where such a character occurs, letters joined with their marks.
-
-    Exact but for conjoining Hangul, stacked marks in other than canonical order and the expansions of scripts other
-    than Latin; ``nfkc_any_script`` covers those.
-    """
-    folded = F.translate(c, *_fold_table("NFKC", False))
-    chars = "".join(s for s, _ in _expansions())
-    expanded = folded
-    for src, dst in _expansions():
-        expanded = F.replace(expanded, F.lit(src), F.lit(dst))
-    return _unless_ascii(c, compose(F.when(folded.rlike("[" + chars + "]"), expanded).otherwise(folded)))
-
-
-def nfkc_any_script():
-    """Exact NFKC for corpora beyond Latin, as an Arrow batch UDF (opt-in slow path)."""
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def _nfkc(values: pd.Series) -> pd.Series:
-        return values.str.normalize("NFKC")
-
-    return _nfkc
-
-
 def normalize_text(c: Column) -> Column:
     text = F.regexp_replace(nfkc(F.coalesce(c, F.lit(""))), r"[ \t]+", " ")
     return F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"(?U)^\s+|\s+$", "")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.text import clean_markdown, document_type, nfkc, normalize_text
+from ..functions.forms import nfc, nfd, nfkc
+from ..functions.text import clean_markdown, document_type, normalize_text
 from ..operators import audit as A
 from ..operators import checks as C
 from ..operators import invoices as I
@@ -163,19 +164,13 @@ def rectified_numbers(d):
     return found.select("doc_id", "numero_factura", "rectified_invoice_number")
 
 
-@query("normalize_forms", r"""SELECT doc_id, md5(regexp_replace(text, '[ \t]+', ' ', 'g')) AS digest, true AS composed FROM documents
-    WHERE regexp_full_match(regexp_replace(text, '[a-zA-ZáéíóúñüçèêàâîôûäößÁÉÍÓÚÑÜÇÈÊÀÂÎÔÛÄÖ]', '', 'g'), '[\x20-\x7E\n\t]*')""")
+@query("normalize_forms", """SELECT doc_id, md5(nfc_normalize(text)) AS composed, length(nfc_normalize(text)) AS n, md5(nfc_normalize(text)) AS folded FROM documents""")
 def normalize_forms(d):
-    """Texts taken apart into letters and marks come back as they were."""
-    accents = "áéíóúñüçèêàâîôûäöÁÉÍÓÚÑÜÇÈÊÀÂÎÔÛÄÖ"
-    import unicodedata
-
-    t = d.table("documents").filter(F.regexp_replace("text", f"[a-zA-Zß{accents}]", "").rlike(r"^[\x20-\x7E\n\t]*$"))
-    apart = F.col("text")
-    for c in accents:
-        apart = F.replace(apart, F.lit(c), F.lit(unicodedata.normalize("NFD", c)))
-    back = nfkc(apart)
-    return t.select("doc_id", F.md5(F.regexp_replace(back, "[ \t]+", " ").cast("binary")).alias("digest"), (back == F.col("text")).alias("composed"))
+    """Every text taken apart into letters and marks, then put together as it is, and with wide vowels and ligatures in it."""
+    apart = d.table("documents").select("doc_id", nfd(F.col("text")).alias("apart"))
+    wide = F.translate(F.replace("apart", F.lit("st"), F.lit("\ufb06")), "aeiouAEIOU", "".join(chr(ord(c) + 0xFEE0) for c in "aeiouAEIOU"))
+    told = apart.select("doc_id", nfc(F.col("apart")).alias("whole"), nfkc(wide).alias("folded"))
+    return told.select("doc_id", F.md5(F.col("whole").cast("binary")).alias("composed"), F.length("whole").cast("bigint").alias("n"), F.md5(F.col("folded").cast("binary")).alias("folded"))
 
 
 @query("clean_pages", r"""SELECT page_id, length(t) AS n, md5(t) AS digest FROM (

@@ -1,12 +1,13 @@
 """What must hold at any size: long documents and lines, folder tables, many batches, no texts on the wire."""
 
+import random
 import time
 import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.functions import text as TX
+from ledgerlens.functions import forms
 from ledgerlens.operators import numbering as N
 from ledgerlens.operators import patch as PT
 from ledgerlens.operators.extraction import amounts as AM
@@ -65,14 +66,27 @@ def test_backfill_keeps_and_places_every_row(spark):
     assert [tuple(r) for r in counters.collect()] == [(10, 11)]
 
 
-TEXTS = ["Retención artículo Nº", "ﬁn…²", "Ｆｕｌｌ　ｗｉｄｔｈ", "Ελλάδα ΐ", "Йод ёлка", "Việt Nam ế ộ", "がぎ", "plain", "́x", "x\ń", ""]
+TEXTS = ["Retención artículo Nº", "ﬁn…²", "Ｆｕｌｌ　ｗｉｄｔｈ", "Ελλάδα ΐ", "Йод ёлка", "Việt Nam ế ộ", "がぎ", "plain", "́x", "x\ń", "", "각 한글", "ǭ̣q̣̇", "\U00100005é\U00100004", "ﷺ ㎏ ½"]
+#: Latin, marks, Greek, Cyrillic, Hebrew, Arabic, Devanagari, Tamil, Thai, Korean letters and syllables, Japanese, presentation forms, music, Kaithi.
+SCRIPTS = [(0x41, 0x24F), (0x300, 0x36F), (0x370, 0x3FF), (0x400, 0x4FF), (0x590, 0x5FF), (0x600, 0x6FF), (0x900, 0x97F), (0xB80, 0xBFF), (0xE00, 0xE7F), (0x1100, 0x11FF),
+           (0xAC00, 0xAD00), (0x3040, 0x30FF), (0x1E00, 0x1FFF), (0x2100, 0x2180), (0xFB00, 0xFDFF), (0xFF00, 0xFFEF), (0x1D100, 0x1D1FF), (0x11080, 0x110FF), (0xF900, 0xFA2F)]
 
 
-@pytest.mark.parametrize("form", ["NFC", "NFD"])
-def test_nfkc(spark, form):
-    texts = [unicodedata.normalize(form, t) for t in TEXTS]
-    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(TX.nfkc(F.col("t"))).collect()]
-    assert got == [unicodedata.normalize("NFKC", t) for t in texts]
+@pytest.fixture(scope="module")
+def scripts():
+    rng = random.Random(1)
+    texts = TEXTS + ["".join(chr(rng.randint(*rng.choice([*rng.sample(SCRIPTS, 2), (0x300, 0x345)]))) for _ in range(rng.randint(0, 30))) for _ in range(600)]
+    texts += ["".join(chr(c) for c in range(k, k + 100) if not 0xD800 <= c < 0xE000) for k in range(0, 0x11100, 100)]
+    return [unicodedata.normalize(form, t) for t in texts for form in ("NFC", "NFD")] + texts
+
+
+@pytest.mark.parametrize("form", ["NFKC", "NFC", "NFD"])
+def test_normal_forms_of_many_scripts(spark, scripts, form):
+    change = {"NFKC": forms.nfkc, "NFC": forms.nfc, "NFD": forms.nfd}[form]
+    df = spark.createDataFrame(list(enumerate(scripts)) + [(-1, None)], "i int, t string").repartition(8)
+    got = {r.i: r.o for r in df.select("i", change(F.col("t")).alias("o")).collect()}
+    assert got.pop(-1) is None
+    assert got == {i: unicodedata.normalize(form, t) for i, t in enumerate(scripts)}
 
 
 def test_decomposed_invoice_is_read_alike(spark):
