@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Characters that every form leaves alone and that join with none: most texts of Western languages hold nothing else.
-SETTLED = r"\x00-\x7F\xA1-\xA7\xA9\xAB-\xAE\xB0\xB1\xB6\xB7\xBB\xBF-\xFF\x{2010}\x{2012}-\x{2016}\x{2018}-\x{2023}\x{2030}\x{20AC}"
+SETTLED = r"\xA1-\xA7\xA9\xAB-\xAE\xB0\xB1\xB6\xB7\xBB\xBF-\xFF\x{2010}\x{2012}-\x{2016}\x{2018}-\x{2023}\x{2030}\x{20AC}"
 #: Codes that stand for numbers.  Where a text holds such a code itself, no form changes it, so the text is taken in pieces.
 CODE, CODES = 0x100000, r"\x{100000}-\x{100FFF}"
 #: Marks, the Korean vowels and finals, which join with what stands before them, and marks that older JVMs do not know (fixed values).
@@ -107,8 +107,10 @@ def _folded(text: Column, form: str) -> Column:
     last = chr(CODE + len(texts) - 1)
 
     def unfold(t: Column) -> Column:
-        several = _each(t, lambda ch: F.when((ch >= chr(CODE)) & (ch <= last), F.element_at(table, F.ascii(ch) - CODE + 1)).otherwise(ch))
-        return F.when(t.rlike(f"[\\x{{{CODE:X}}}-\\x{{{ord(last):X}}}]"), several).otherwise(t)
+        one = lambda ch: F.when((ch >= chr(CODE)) & (ch <= last), F.element_at(table, F.ascii(ch) - CODE + 1)).otherwise(ch)
+        codes = f"\\x{{{CODE:X}}}-\\x{{{ord(last):X}}}"
+        pieces = F.regexp_extract_all(t, F.lit(f"[{codes}]|[^{codes}]+"), F.lit(0))
+        return F.when(t.rlike(f"[{codes}]"), F.array_join(F.transform(pieces, one), "")).otherwise(t)
 
     return let(F.translate(text, source, target), unfold)
 
@@ -185,15 +187,22 @@ def _with_marks(text: Column, change) -> Column:
     return F.when(text.rlike(f"[{JOINING}]"), F.array_join(pieces, "")).otherwise(text)
 
 
-def _unless_codes(text: Column, change) -> Column:
-    pieces = F.regexp_extract_all(text, F.lit(f"[{CODES}]+|[^{CODES}]+"), F.lit(0))
-    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(f"[{CODES}]"), p).otherwise(change(p))), "")
+def _where(text: Column, chars: str, change, inside: bool) -> Column:
+    """``change`` on the runs of some characters, or on all others."""
+    pieces = F.regexp_extract_all(text, F.lit(f"[{chars}]+|[^{chars}]+"), F.lit(0))
+    hit = lambda p: p.rlike(f"^[{chars}]") if inside else p.rlike(f"^[^{chars}]")
+    return F.array_join(F.transform(pieces, lambda p: F.when(hit(p), change(p)).otherwise(p)), "")
+
+
+def _settled(c: Column) -> Column:
+    """Does text hold nothing that a form changes?  What is not ASCII is taken out first, since a class of many ranges is slow."""
+    return (F.octet_length(c) == F.length(c)) | ~F.regexp_replace(c, r"[\x00-\x7F]+", "").rlike(f"[^{SETTLED}]")
 
 
 def composed(c: Column, form: str) -> Column:
     """NFC or NFKC.  Time grows with the square of the longest run of marks on one letter, else with the text."""
-    slow = _unless_codes(c, lambda p: let(_folded(p, form), lambda t: _with_marks(t, _together)))
-    return F.when(c.rlike(f"[^{SETTLED}]"), slow).otherwise(c)
+    slow = _where(c, CODES, lambda p: let(_folded(p, form), lambda t: _with_marks(t, _together)), False)
+    return F.when(_settled(c), c).otherwise(slow)
 
 
 def nfkc(c: Column) -> Column:
@@ -213,5 +222,5 @@ def nfd(c: Column) -> Column:
         return F.when((ch >= chr(S0)) & (ch <= chr(S0 + LS * VS * TS - 1)), parts).otherwise(ch)
 
     ordered = lambda p: F.array_join(F.transform(_in_order(p), lambda x: x["ch"]), "")
-    apart = _unless_codes(c, lambda p: let(_folded(p, "NFC"), lambda t: let(_each(_apart(t), korean), lambda u: _with_marks(u, ordered))))
-    return F.when(c.rlike("[^\\x00-\\x7F]"), apart).otherwise(c)
+    apart = _where(c, r"\x00-\x7F" + CODES, lambda p: let(_folded(p, "NFC"), lambda t: let(_each(_apart(t), korean), lambda u: _with_marks(u, ordered))), False)
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(apart)

@@ -13,6 +13,7 @@ from ..operators import invoices as I
 from ..operators import parties as P
 from ..operators import uploads as U
 from ..operators.extraction import assemble as X
+from ..operators.extraction.common import pin
 from ..operators.extraction import fields as FI
 from ..operators.extraction import lines as LI
 from .lists import JOINED, LATEST_DOC
@@ -167,9 +168,9 @@ def rectified_numbers(d):
 @query("normalize_forms", """SELECT doc_id, md5(nfc_normalize(text)) AS composed, length(nfc_normalize(text)) AS n, md5(nfc_normalize(text)) AS folded FROM documents""")
 def normalize_forms(d):
     """Every text taken apart into letters and marks, then put together as it is, and with wide vowels and ligatures in it."""
-    apart = d.table("documents").select("doc_id", nfd(F.col("text")).alias("apart"))
+    apart = pin(d.table("documents").select("doc_id", "text"), apart=nfd(F.col("text")))
     wide = F.translate(F.replace("apart", F.lit("st"), F.lit("\ufb06")), "aeiouAEIOU", "".join(chr(ord(c) + 0xFEE0) for c in "aeiouAEIOU"))
-    told = apart.select("doc_id", nfc(F.col("apart")).alias("whole"), nfkc(wide).alias("folded"))
+    told = pin(pin(apart, wide=wide), whole=nfc(F.col("apart")), folded=nfkc(F.col("wide")))
     return told.select("doc_id", F.md5(F.col("whole").cast("binary")).alias("composed"), F.length("whole").cast("bigint").alias("n"), F.md5(F.col("folded").cast("binary")).alias("folded"))
 
 
