@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, cut, longs_of
+from .common import SPACES, ascii_lower, cut, free_name, longs_of
 
 MIN_KEY = 20
 MIN_DOCS = 3
@@ -149,21 +149,20 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A line goes if its key (ends stripped, A-Z lower-cased) has ``min_key`` code points, at least ``min_docs`` documents
     hold it, and this is not the largest of them.  Other columns pass through; those named like the new ones are replaced.
     """
-    new = ("n_lines", "n_dropped", "kept_text", "_doc", "_hash", "_lines")
+    new = ("n_lines", "n_dropped", "kept_text")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keep = keep_bitmaps(docs, id_col, text_col, min_key, min_docs)
-    keep = keep.select(F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("n_dropped").alias("_n"), F.col("keep").alias("_keep"))
-    rows = docs.select(*[c for c in docs.columns if c not in new]).withColumns(
-        {"_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_DOC)), "_hash": F.xxhash64(text)}
-    )
-    joined = rows.join(keep.hint("shuffle_hash"), ["_doc", "_hash"], "left")
+    doc, hash_, n, bits = (free_name(docs, c) for c in ("doc", "hash", "n", "keep"))
+    found = keep_bitmaps(docs, id_col, text_col, min_key, min_docs)
+    found = found.select(F.col("doc").alias(doc), F.col("text_hash").alias(hash_), F.col("n_dropped").alias(n), F.col("keep").alias(bits))
+    rows = docs.withColumns({doc: F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_DOC)), hash_: F.xxhash64(text)})
+    joined = rows.join(found.hint("shuffle_hash"), [doc, hash_], "left")
     kept = F.filter(
         F.split(text, "\n", -1),
-        lambda line, i: F.coalesce(F.getbit(F.element_at("_keep", (i / 64).cast("int")), i % 64), F.lit(1)) == 1,
+        lambda line, i: F.coalesce(F.getbit(F.element_at(bits, (i / 64).cast("int")), i % 64), F.lit(1)) == 1,
+    )
+    return joined.select(
+        *[F.col(c) for c in docs.columns if c not in new],
+        (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
+        F.coalesce(n, F.lit(0).cast("long")).alias("n_dropped"),
+        F.when(F.col(n).isNull(), text).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
     )
-    out = joined.withColumns({
-        "n_lines": (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long"),
-        "n_dropped": F.coalesce("_n", F.lit(0).cast("long")),
-        "kept_text": F.when(F.col("_n").isNull(), text).otherwise(F.array_join(kept, "\n")),
-    })
-    return out.drop("_doc", "_hash", "_n", "_keep")
