@@ -44,6 +44,8 @@ ALLOWED_MIME = ("application/pdf", "image/jpeg", "image/png", "image/tiff", "ima
 MAX_UPLOAD_BYTES = 10 * 1024 * 1024
 MAX_ENGINE_BYTES = 50 * 1024 * 1024
 MAX_FILES_PER_REQUEST = 25
+#: Pages of a document that are read; what lies behind them is left out with a warning.
+MAX_PAGES = 8
 
 # --- fixed values: processing ----------------------------------------------------------------------
 STALE_MINUTES = 15

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -174,6 +174,42 @@ def invoice_page(df: DataFrame, sort_by="created_at", sort_dir="desc", page: int
     return (ordered.offset((page - 1) * limit) if page > 1 else ordered).limit(limit)
 
 
+def _beyond(key: Column, value: Column, ascending: bool) -> Column:
+    """Rows whose key comes strictly after a value in the list's order, NULLs included (last if ascending, else first)."""
+    if ascending:
+        return F.coalesce((key > value) | (key.isNull() & value.isNotNull()), F.lit(False))
+    return F.coalesce((key < value) | (key.isNotNull() & value.isNull()), F.lit(False))
+
+
+def after_row(last: Row, sort_by: str = "created_at", sort_dir: str = "desc") -> Column:
+    """Predicate for the rows behind ``last`` (a row of the page before) in the order of ``sort_columns``.
+
+    The literals of the row are compared with plain columns, so the bound on the leading key reaches the scan.
+    """
+    ascending, lead = str(sort_dir).upper() == "ASC", SORT_KEYS.get(sort_by, "created_at")
+    steps = [(lead, ascending), ("created_at", False), ("id", False)]
+    found, equal = F.lit(False), F.lit(True)
+    for name, up in steps:
+        kind = {"id": "long"}.get(name)
+        value = F.lit(last[name]) if kind is None else F.lit(last[name]).cast(kind)
+        found = found | (equal & _beyond(F.col(name), value, up))
+        equal = equal & F.col(name).eqNullSafe(value)
+    if last[lead] is None:
+        # ascending: only NULLs are left; descending: they come first, so anything may follow
+        return (F.col(lead).isNull() & found) if ascending else found
+    bound = F.col(lead) >= F.lit(last[lead]) if ascending else F.col(lead) <= F.lit(last[lead])
+    return (bound | F.col(lead).isNull() if ascending else bound) & found
+
+
+def seek_page(df: DataFrame, last: Row | None, sort_by="created_at", sort_dir="desc", limit: int = 20) -> DataFrame:
+    """The page behind a row, at the cost of a first page however deep it lies; with None the first page.
+
+    Nothing before the row is sorted or kept: a top-n of ``limit`` rows per task over what the bound lets pass.
+    """
+    rest = df if last is None else df.filter(after_row(last, sort_by, sort_dir))
+    return rest.orderBy(*sort_columns(sort_by, sort_dir)).limit(limit)
+
+
 def page_total(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("total"))
 
@@ -215,7 +251,7 @@ def with_document_code(df: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class InvoiceQuery:
-    """Parameters of the invoice list; absent ones do not filter."""
+    """Parameters of the invoice list; absent ones do not filter.  ``after``: the last row of the page before, in place of ``page``."""
 
     asesoria: int | None = None
     estado: str | None = None
@@ -227,6 +263,7 @@ class InvoiceQuery:
     sort_dir: str = "desc"
     page: int = 1
     limit: int = 20
+    after: Row | None = None
 
     def _needs_documents(self) -> bool:
         """Whether the latest document decides which rows are listed or how they are ordered."""
@@ -244,9 +281,11 @@ class InvoiceQuery:
 
     def run(self, invoices: DataFrame, clients: DataFrame, documents: DataFrame, jobs: DataFrame) -> DataFrame:
         """The page is cut first: what only decorates it is then looked up for its few rows."""
-        page = invoice_page(
-            self.matching(invoices, clients, documents), self.sort_by, self.sort_dir, self.page, self.limit
-        )
+        listed = self.matching(invoices, clients, documents)
+        if self.after is None:
+            page = invoice_page(listed, self.sort_by, self.sort_dir, self.page, self.limit)
+        else:
+            page = seek_page(listed, self.after, self.sort_by, self.sort_dir, self.limit)
         out = page
         if not self._needs_documents():
             out = with_latest_document(out, rows_of_page(documents, page))

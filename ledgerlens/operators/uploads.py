@@ -118,13 +118,21 @@ def route_text(pages: DataFrame) -> DataFrame:
     )
 
 
-def assemble_text(blocks: DataFrame) -> DataFrame:
+def page_report(blocks: DataFrame, limit: int = K.MAX_PAGES) -> DataFrame:
+    """Pages of each document (by its last block), how many are read, and why the others are not."""
+    per = blocks.groupBy("doc_id").agg((F.max("page") + 1).cast("long").alias("pages"))
+    over = F.col("pages") > limit
+    return per.select("doc_id", "pages", F.least("pages", F.lit(limit).cast("long")).alias("read"), F.when(over, F.lit(f"only the first {limit} pages are read")).alias("reason"))
+
+
+def assemble_text(blocks: DataFrame, limit: int = K.MAX_PAGES) -> DataFrame:
     """Page text from positioned blocks: top to bottom, left to right; blank line between pages.
 
-    A page is gathered in one row and so are the pages of a document: the result is one text per document,
-    and documents are admitted with few pages."""
+    Pages count from 0, and only the first ``limit`` are read: the rule runs on the scan, before a page is gathered in one
+    row and then the pages of its document, which are therefore few.  ``page_report`` tells which documents have more.
+    """
     block = F.struct(F.round("y", 1).alias("y"), F.round("x", 1).alias("x"), F.trim("text").alias("text"))
-    page = blocks.filter(F.trim("text") != "").groupBy("doc_id", "page").agg(
+    page = blocks.filter((F.col("page") < limit) & (F.trim("text") != "")).groupBy("doc_id", "page").agg(
         F.array_sort(F.collect_list(block)).alias("b")
     ).select("doc_id", "page", F.array_join(F.transform("b", lambda s: s["text"]), "\n").alias("text"))
     return page.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("p")).select(

@@ -227,7 +227,7 @@ def route_text(d):
 
 
 @query("assemble_text", """SELECT doc_id, string_agg(t, chr(10)||chr(10) ORDER BY page) AS text FROM (SELECT conv_id AS doc_id, turn//2 AS page, string_agg(trim(text), chr(10) ORDER BY round((7919*turn%100)/3,1), round((31*conv_id%50)/7,1), trim(text)) AS t
-    FROM conversations WHERE trim(text)<>'' GROUP BY 1,2) GROUP BY 1""")
+    FROM conversations WHERE trim(text)<>'' AND turn//2 < 8 GROUP BY 1,2) GROUP BY 1""")
 def assemble_text(d):
     """Turns of a conversation as positioned blocks, two to a page."""
     blocks = d.table("conversations").select(
@@ -236,6 +236,17 @@ def assemble_text(d):
     return U.assemble_text(blocks)
 
 
+@query("page_limit", """WITH b AS (SELECT conv_id//3 AS doc_id, (conv_id%3)*8+turn AS page, trim(text) AS t FROM conversations),
+    p AS (SELECT doc_id, max(page)+1 AS pages FROM b GROUP BY 1),
+    x AS (SELECT doc_id, string_agg(t, chr(10)||chr(10) ORDER BY page) AS text FROM b WHERE page<8 AND t<>'' GROUP BY 1)
+    SELECT doc_id, pages, least(pages, 8) AS "read", CASE WHEN pages>8 THEN 'only the first 8 pages are read' END AS reason, text FROM p LEFT JOIN x USING (doc_id)""")
+def page_limit(d):
+    """Three conversations to a document, a turn to a page: documents on both sides of the limit, and what is read of them."""
+    blocks = d.table("conversations").select(
+        F.floor(F.col("conv_id") / 3).alias("doc_id"), (F.col("conv_id") % 3 * 8 + F.col("turn")).alias("page"), F.lit(0.0).alias("y"), F.lit(0.0).alias("x"), "text")
+    return U.page_report(blocks).join(U.assemble_text(blocks), "doc_id", "left")
+
+
 @query("clean_markdown", """SELECT doc_id, source||chr(10)||lang||' de '||source||chr(10)||source AS text, lang||chr(10)||source||chr(10)||'x' AS cells, source||chr(10)||'Pie '||lang AS page FROM documents""")
 def clean_markdown_query(d):
     t = d.table("documents")

@@ -64,6 +64,24 @@ def invoice_page_by_channel(d):
     return _page(d, I.InvoiceQuery(channel="mobile_camera", sort_by="fecha_subida", limit=50))
 
 
+@query("invoice_page_seek", _page_sql("asesoria_id=7", "created_at DESC NULLS FIRST, id DESC", "LIMIT 20 OFFSET 40"))
+def invoice_page_seek(d):
+    """The third page, sought behind the last row of the second."""
+    listed = I.InvoiceQuery(asesoria=7).matching(_blank(d.facturas), d.clientes, d.documentos)
+    last = None
+    for _ in range(2):  # what a reader of the list has seen: twenty rows at a time
+        last = (I.seek_page(listed, last).select("id", "created_at").tail(1) or [last])[0]
+    return _page(d, I.InvoiceQuery(asesoria=7, after=last))
+
+
+@query("invoice_page_seek_by_total", _page_sql("asesoria_id=7 AND estado='VALIDADA'", "total ASC NULLS LAST, created_at DESC NULLS FIRST, id DESC", "LIMIT 10 OFFSET 10"))
+def invoice_page_seek_by_total(d):
+    kw = dict(asesoria=7, estado="VALIDADA", sort_by="total", sort_dir="asc", limit=10)
+    listed = I.InvoiceQuery(**kw).matching(_blank(d.facturas), d.clientes, d.documentos)
+    last = I.seek_page(listed, None, "total", "asc", 10).select("id", "created_at", "total").tail(1)
+    return _page(d, I.InvoiceQuery(**kw, after=last[0] if last else None))
+
+
 @query("invoice_page_total", with_views(
     "SELECT count(*) AS total FROM joined WHERE asesoria_id=7 AND estado='VALIDADA'",
     "facturas_p", "clientes", "documentos", ld=LATEST_DOC, joined=JOINED))

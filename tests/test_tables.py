@@ -1,9 +1,12 @@
 """Properties of table operators, with keys that hold most rows."""
 
+import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from ledgerlens.operators import invoices as I
 from ledgerlens.operators import jobs as J
 from ledgerlens.operators import numbering as N
 from ledgerlens.operators import parties as P
@@ -121,3 +124,27 @@ def test_plans_stay_native(spark, sf_dir):
         text = plan(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
         assert "PythonUDF" not in text and "ArrowEvalPython" not in text and "BatchEvalPython" not in text, name
+
+
+@pytest.mark.parametrize("sort_by, sort_dir", [("created_at", "desc"), ("created_at", "asc"), ("total", "desc"), ("total", "asc"), ("cliente", "asc"), ("cliente", "desc")])
+def test_seeking_equals_offsets(spark, sort_by, sort_dir):
+    rng = random.Random(3)
+    day = lambda: None if rng.random() < 0.2 else dt.datetime(2024, 1, rng.randint(1, 3))
+    rows = [(k, day(), rng.choice([None, 1.0, 2.5, 2.5, 7.0]), rng.choice([None, "a", "b"])) for k in range(137)]
+    df = spark.createDataFrame(rows, "id long, created_at timestamp_ntz, total double, cliente_nombre string").repartition(5)
+    last, page = None, 1
+    while True:
+        sought = I.seek_page(df, last, sort_by, sort_dir, 10).collect()
+        assert sought == I.invoice_page(df, sort_by, sort_dir, page, 10).collect()
+        if not sought:
+            break
+        last, page = sought[-1], page + 1
+    assert page == 15
+
+
+def test_deep_page_is_bounded_at_the_scan(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey as id", "o_orderdate as created_at", "o_totalprice as total")
+    deep = orders.orderBy(F.col("total").asc(), F.col("created_at").desc(), F.col("id").desc()).offset(1000).limit(1).first()
+    plan = I.seek_page(orders, deep, "total", "asc")._jdf.queryExecution().executedPlan().toString()
+    assert "o_totalprice,GreaterThanOrEqual" in plan.replace(" ", "") or "GreaterThanOrEqual(o_totalprice" in plan
+    assert "TakeOrderedAndProject" in plan
