@@ -148,3 +148,28 @@ def test_deep_page_is_bounded_at_the_scan(spark, sf_dir):
     plan = I.seek_page(orders, deep, "total", "asc")._jdf.queryExecution().executedPlan().toString()
     assert "o_totalprice,GreaterThanOrEqual" in plan.replace(" ", "") or "GreaterThanOrEqual(o_totalprice" in plan
     assert "TakeOrderedAndProject" in plan
+
+
+def test_rules_scan_each_table_once(spark, tmp_path):
+    from ledgerlens.operators.checks import schema_report
+
+    shapes = {
+        "invoices": "id long, estado string, cliente_id long", "clients": "id long, estado string", "users": "id long, tipo_usuario string, cliente_id long, rol string",
+        "documents": "id long, canal_entrada string, factura_id long", "jobs": "id long, estado string, factura_id long", "audit": "id long, usuario_id long",
+    }
+    rows = {
+        "invoices": [(1, "SUBIDA", 7), (2, None, 8), (2, "XX", None)], "clients": [(7, "ACTIVA"), (None, "ACTIVA")],
+        "users": [(5, "EMPRESA", None, "LECTURA"), (6, "ASESORIA", 9, "ROOT")], "documents": [(1, "web", 1), (2, "fax", 3)],
+        "jobs": [(1, "ERROR", 2)] * 50, "audit": [(1, 5), (2, 4), (3, 4), (4, None)],
+    }
+    for name, shape in shapes.items():
+        spark.createDataFrame(rows[name], shape).write.parquet(f"{tmp_path}/{name}")
+    report = schema_report(*[spark.read.parquet(f"{tmp_path}/{n}") for n in shapes])
+    got = {(r.tabla, r.regla): r.n_bad for r in report.collect()}
+    assert got == {
+        ("facturas", "estado"): 2, ("facturas", "fk_cliente"): 1, ("clientes", "estado"): 0, ("usuarios", "empresa_cliente"): 1, ("usuarios", "rol"): 1,
+        ("usuarios", "fk_cliente"): 1, ("documentos_subidos", "canal"): 1, ("documentos_subidos", "fk_factura"): 1, ("processing_jobs", "estado"): 0,
+        ("processing_jobs", "fk_factura"): 0, ("auditoria", "fk_usuario"): 2,
+    }
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 6
