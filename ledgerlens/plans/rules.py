@@ -174,10 +174,26 @@ def normalize_forms(d):
     return told.select("doc_id", F.md5(F.col("whole").cast("binary")).alias("composed"), F.length("whole").cast("bigint").alias("n"), F.md5(F.col("folded").cast("binary")).alias("folded"))
 
 
-@query("clean_pages", r"""SELECT page_id, length(t) AS n, md5(t) AS digest FROM (
-    SELECT page_id, regexp_replace(regexp_replace(html, '(?m)^#{1,6}\s+', '', 'g'), '\*{1,3}(.+?)\*{1,3}', '\1', 'g') AS t FROM pages WHERE NOT contains(html, '['))""")
+def _cleaned_sql(c: str) -> str:
+    """The marks taken out one kind after the other, then the rules between lines."""
+    for pattern, kept in ((r"(?m)^#{1,6}\s+", ""), (r"\*{1,3}(.+?)\*{1,3}", r"\1"), (r"\[([^\]]+)\]\([^)]+\)", r"\1"), (r"!\[[^\]]*\]\([^)]+\)", "")):
+        c = f"regexp_replace({c}, '{pattern}', '{kept}', 'g')"
+    return rf"array_to_string([x FOR x IN string_split({c}, chr(10)) IF NOT regexp_matches(x, '^[-*_]{{3,}}\s*$')], chr(10))"
+
+
+@query("clean_pages", f"SELECT page_id, length(t) AS n, md5(t) AS digest FROM (SELECT page_id, {_cleaned_sql('html')} AS t FROM pages)")
 def clean_pages(d):
-    """Marks of emphasis and headings in the pages of the table that hold no link marks."""
-    plain = d.table("pages").filter(~F.col("html").contains("["))
-    t = clean_markdown(F.col("html"))
-    return plain.select("page_id", F.length(t).cast("bigint").alias("n"), F.md5(t.cast("binary")).alias("digest"))
+    """Marks in the whole text of every page."""
+    t = pin(d.table("pages").select("page_id", "html"), t=clean_markdown(F.col("html")))
+    return t.select("page_id", F.length("t").cast("bigint").alias("n"), F.md5(F.col("t").cast("binary")).alias("digest"))
+
+
+_MARKED = "'## '||replace(replace(text, ' the ', ' **the** '), ' de ', ' [de](http://x/y) ')||chr(10)||'---'||chr(10)||'*'||source||'* ![img](a.png) '||lang"
+
+
+@query("clean_documents", f"SELECT doc_id, length(t) AS n, md5(t) AS digest FROM (SELECT doc_id, {_cleaned_sql(_MARKED)} AS t FROM documents)")
+def clean_documents(d):
+    """Whole documents with marks put into their texts, lines and margins."""
+    docs = d.table("documents").select("doc_id", F.expr(_MARKED.replace("chr(10)", "'\n'")).alias("md"))
+    t = pin(docs, t=clean_markdown(F.col("md")))
+    return t.select("doc_id", F.length("t").cast("bigint").alias("n"), F.md5(F.col("t").cast("binary")).alias("digest"))
\ No newline at end of file
