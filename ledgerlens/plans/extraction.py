@@ -147,19 +147,21 @@ def extract_amounts(d):
 
 
 @query("table_zones", _sql(
-    """SELECT doc_id, CASE WHEN n>0 THEN foot-(CASE WHEN layout=3 THEN n ELSE 4*n END) ELSE NULL END AS start, CASE WHEN n>0 THEN foot END AS "end" FROM inv WHERE n>0""", "inv"))
+    """SELECT doc_id, CASE WHEN n>0 THEN foot-(CASE WHEN layout=3 THEN n ELSE 4*n END) ELSE NULL END AS start, CASE WHEN n>0 THEN foot END AS "end" FROM inv""", "inv"))
 def table_zones(d):
-    """Zones of the texts that have items."""
-    zones = IT.zone_rows(IT.with_zone(_scan(d)))
-    return zones.filter(F.col("end") > F.col("start")).select("doc_id", F.col("start").cast("bigint"), F.col("end").cast("bigint"))
+    """The zone of every text; none where there are no items."""
+    zones = IT.zone_rows(IT.with_zone(_scan(d))).filter(F.col("end") > F.col("start")).select("doc_id", F.col("start").cast("bigint"), F.col("end").cast("bigint"))
+    return d.table("orders").select(F.col("o_orderkey").alias("doc_id")).join(zones, "doc_id", "left")
 
 
 @query("table_runs", _sql(
-    """SELECT doc_id, (CASE layout WHEN 2 THEN 2 WHEN 3 THEN 1 ELSE 2*n END) AS runs, (CASE WHEN layout=3 THEN 0 ELSE 3*n END) AS numbers FROM inv WHERE n>0""", "inv"))
+    """SELECT doc_id, CASE WHEN n=0 THEN 0 ELSE CASE layout WHEN 2 THEN 2 WHEN 3 THEN 1 ELSE 2*n END END AS runs, CASE WHEN layout=3 THEN 0 ELSE 3*n END AS numbers FROM inv""", "inv"))
 def table_runs(d):
-    rows = IT.run_rows(IT.with_items(_scan(d)))
-    return rows.groupBy("doc_id").agg(
+    """Runs of lines inside the zone of every text, and how many of their lines are numbers."""
+    rows = IT.run_rows(IT.with_items(_scan(d))).groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("runs"), F.sum(F.when(F.col("number"), F.col("length")).otherwise(0)).cast("bigint").alias("numbers"))
+    every = d.table("orders").select(F.col("o_orderkey").alias("doc_id"))
+    return every.join(rows, "doc_id", "left").select("doc_id", *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("runs", "numbers")])
 
 
 @query("extract_items", _sql("SELECT doc_id, item, descripcion, cantidad, precio_unitario, importe FROM items", "items"))
