@@ -231,12 +231,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             changed = edited(text, other_text)
             codes = codes_of(changed)
             new = fingerprint(codes)
-            head = min(len(text), len(changed), BLOCK)
-            shared, at = 0, 0
-            while head:  # the texts agree on their first half at least; block by block beyond that
-                step = int(PrefixHashes(codes_of(text[at : at + head])).common([0], PrefixHashes(codes[at : at + head]), [0])[0])
-                shared, at = shared + step, at + head
-                head = min(len(text) - at, len(changed) - at, BLOCK) if step == head else 0
+            # the texts agree on what was kept; beyond that they mostly part at once, so spans grow from a short one
+            at, head, same = len(text) - len(text) // 2, 64, True
+            while same and at < len(changed):
+                step = min(head, len(text) - at, len(changed) - at)
+                ours, theirs = PrefixHashes(codes_of(text[at : at + step])), PrefixHashes(codes[at : at + step])
+                shared = int(ours.common([0], theirs, [0])[0])
+                at, head, same = at + shared, min(2 * head, BLOCK), shared == step
+            shared = at
             return (
                 doc_id, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), written(own), written(new),
                 likeness(own, new), likeness(own, other), shared,
