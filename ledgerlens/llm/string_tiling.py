@@ -191,20 +191,25 @@ def drop_contaminated(
 ) -> DataFrame:
     """``docs`` without the rows that an item of ``benchmark`` contaminates.  Rows with null or empty texts stay.
 
-    Items of one block filter texts where they lie.  With more blocks the ids found are taken out by a join; rows without
-    an id then stay.
+    Items filter texts where they lie.  With more than one block of items the rows that one leaves go on to the next.
     """
     items, size = _items(benchmark, item_col, item_text_col)
-    if size > block_bytes:
-        found = contaminated(docs, benchmark, id_col, text_col, item_col, item_text_col, least, coverage, block_bytes)
-        gone = found.select(F.col("doc_id").alias("_gone")).distinct()
-        return docs.join(gone.hint("shuffle_hash"), docs[id_col].cast("long") == gone["_gone"], "left_anti")
-    shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])  # at most block_bytes, just measured
+    blocks = 1 if size <= block_bytes else int(2 * size // block_bytes) + 1
 
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(shared.value, least)
-        for batch in slices(batches):
-            keep = [not any(sum(k for _, _, k in tiles) >= coverage * words for _, words, tiles in items.matches(t)) for t in texts_of(batch, text_col)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+    def without(rows: DataFrame, block: list[tuple]) -> DataFrame:
+        shared = rows.sparkSession.sparkContext.broadcast(block)
+
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items = Items(shared.value, least)
+            for batch in slices(batches):
+                keep = [not any(sum(k for _, _, k in tiles) >= coverage * words for _, words, tiles in items.matches(t)) for t in texts_of(batch, text_col)]
+                yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(clean, docs.schema)
+        return rows.mapInArrow(clean, rows.schema)
+
+    if blocks == 1:
+        return without(docs, [tuple(r) for r in items.collect()])  # at most block_bytes, just measured
+    for k in range(blocks):
+        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()  # about half of block_bytes
+        docs = cut(without(docs, [tuple(r) for r in block]))
+    return docs
