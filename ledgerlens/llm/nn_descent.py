@@ -1,21 +1,25 @@
 """Embedding near-dedup by NN-descent.
 
 Equal vectors of one label are one class.  A graph holds the ``NEIGHBOURS`` nearest classes known of each class.  It starts
-from blocks of a few random orders (classes sorted by the signs of random projections) and is refined by local joins: all
-neighbours of a class, and those that count it as theirs, are compared with each other.  Pairs at the threshold are links.
-
-A list full of links is saturated: there are more links than it can hold.  Such lists are enlarged to their whole component,
-which is compared tile by tile, each task returning counts for its members rather than pairs.  An audit takes a bounded
-sample of classes, finds their links exactly among all classes, and has the graph refined again while recall falls short.
+from blocks of random orders (classes sorted by the signs of random projections), more of them the larger the label, so that
+a pair at the threshold meets in one.  It is refined by local joins: all neighbours of a class, and those that count it as
+theirs, are compared with each other.  Pairs at the threshold are links.
+
+Each round also draws fresh orders.  The share of their links that the graph had before is its recall, measured on links
+however rare they are; a label goes on, with all links found kept, until that share is enough.  A list full of links is
+saturated: there are more links than it can hold.  Such lists are enlarged to their whole component, which is compared tile
+by tile, each task returning counts for its members rather than pairs.  At last an audit takes a bounded sample of classes
+and finds their links exactly among all classes; while it falls short, all labels are refined again.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -24,14 +28,15 @@ from .components import components
 
 THRESHOLD = 0.93
 NEIGHBOURS = 8
-ORDERS = 4
 BITS = 32
 BLOCK = 256
+#: Share of the pairs at the threshold that the first orders are to meet, and fresh orders of a round.
+COVER = 0.99
+FRESH = 4
 REVERSE = 64
 TILE = 512
 AUDITED = 512
 RECALL = 0.98
-ROUNDS = 4
 EDGE = "v long, u long, sim double"
 
 
@@ -41,9 +46,15 @@ def _vectors(batch: pa.RecordBatch, name: str = "vec") -> tuple[np.ndarray, np.n
     return column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False), column.offsets.to_numpy() - column.offsets[0].as_py()
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows of length one.  Scaled by a power of two first, so that no square overflows or vanishes."""
+    with np.errstate(under="ignore"):
+        x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _units(flat: np.ndarray, offsets: np.ndarray, a: int, b: int, dim: int) -> np.ndarray:
-    x = flat[offsets[a] : offsets[b]].reshape(b - a, dim)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    return _scaled(flat[offsets[a] : offsets[b]].reshape(b - a, dim))
 
 
 def _edges(v: list, u: list, sim: list) -> Iterator[pa.RecordBatch]:
@@ -67,25 +78,38 @@ def vector_classes(rows: DataFrame) -> DataFrame:
     return rows.distinct().groupBy("label", "vec").agg(F.min("vec_id").alias("v"), F.count("*").alias("copies")).select("v", "label", F.size("vec").alias("dim"), "vec", "copies")
 
 
-def first_graph(classes: DataFrame, k: int, orders: int, block: int) -> DataFrame:
-    """Neighbours within blocks of ``block`` classes in a few random orders; blocks overlap by half."""
+def orders_needed(size: Column, block: int, threshold: float, cover: float) -> Column:
+    """Orders in which pairs at the threshold meet with probability ``cover``, for a label of ``size`` classes.
+
+    A block holds classes whose codes agree in about log2(2 size / block) bits.  Signs agree with probability 1 - angle / pi.
+    """
+    agree = F.pow(F.lit(1 - math.acos(threshold) / math.pi), F.greatest(F.log2(2 * size / block), F.lit(0.0)))
+    needed = F.ceil(math.log(1 - cover) / F.log(1 - F.least(agree, F.lit(0.999))))
+    return F.when(size <= block, 1).otherwise(needed).cast("int")
+
+
+def first_graph(classes: DataFrame, k: int, block: int, turn: int) -> DataFrame:
+    """Neighbours within blocks of ``block`` classes in random orders; blocks overlap by half.
+
+    The column ``orders`` says how many orders a class takes part in; ``turn`` chooses which.
+    """
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
+        planes: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             flat, offsets = _vectors(batch)
-            dims = longs_of(batch, "dim")
-            codes = np.zeros((orders, batch.num_rows), np.int64)
-            for dim in np.unique(dims).tolist():
-                if dim not in planes:
-                    planes[dim] = np.random.default_rng([11, dim]).normal(size=(dim, orders * BITS))
-                at = np.flatnonzero(dims == dim)
-                x = flat[offsets[at][:, None] + np.arange(dim)]
-                signs = (x @ planes[dim] > 0).reshape(len(at), orders, BITS)
-                codes[:, at] = (signs @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))).T
-            for o in range(orders):
-                columns = [pa.array(np.full(batch.num_rows, o, np.int32)), *(batch.column(c) for c in ("label", "dim")), pa.array(codes[o]), batch.column("v"), batch.column("vec")]
-                yield pa.RecordBatch.from_arrays(columns, names=["o", "label", "dim", "code", "v", "vec"])
+            dims, orders = longs_of(batch, "dim"), longs_of(batch, "orders")
+            for o in range(int(orders.max(initial=0))):
+                codes = np.zeros(batch.num_rows, np.int64)
+                for dim in np.unique(dims[orders > o]).tolist():
+                    if (dim, o) not in planes:
+                        planes[dim, o] = np.random.default_rng([11, dim, turn, o]).normal(size=(dim, BITS))
+                    at = np.flatnonzero((dims == dim) & (orders > o))
+                    signs = _scaled(flat[offsets[at][:, None] + np.arange(dim)]) @ planes[dim, o] > 0
+                    codes[at] = signs @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
+                columns = [pa.array(np.full(batch.num_rows, o, np.int32)), *(batch.column(c) for c in ("label", "dim")), pa.array(codes), batch.column("v"), batch.column("vec")]
+                out = pa.RecordBatch.from_arrays(columns, names=["o", "label", "dim", "code", "v", "vec"])
+                yield out if orders.min() > o else out.filter(pa.array(orders > o))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, tail, tail_ids = None, None, None
@@ -203,8 +227,7 @@ def audit(classes: DataFrame, links: DataFrame, threshold: float, audited: int)
     groups: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
     for label, dim in {(r[1], r[2]) for r in asked}:
         of = [r for r in asked if r[1:3] == (label, dim)]
-        x = np.array([r[3] for r in of], float)
-        groups[label, dim] = np.array([r[0] for r in of]), x / np.linalg.norm(x, axis=1, keepdims=True)
+        groups[label, dim] = np.array([r[0] for r in of]), _scaled(np.array([r[3] for r in of], float))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,7 +237,7 @@ def audit(classes: DataFrame, links: DataFrame, threshold: float, audited: int)
                 at = np.flatnonzero((label == of_label) & (dim == of_dim))
                 if len(at):
                     y = flat[offsets[at][:, None] + np.arange(of_dim)]
-                    near = x @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T >= threshold
+                    near = x @ _scaled(y).T >= threshold
                     near &= ids[:, None] != v[at][None, :]
                     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array((near @ copies[at]).astype(np.int64))], names=["v", "n"])
 
@@ -225,9 +248,31 @@ def audit(classes: DataFrame, links: DataFrame, threshold: float, audited: int)
     return sum(min(found.get(v, 0), n) for v, n in true.items()) / total if total else 1.0
 
 
+def _with_orders(classes: DataFrame, threshold: float) -> DataFrame:
+    sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("size"))
+    return classes.join(sizes, ["label", "dim"]).withColumn("orders", orders_needed(F.col("size"), BLOCK, threshold, COVER)).drop("size")
+
+
+def refined(graph: DataFrame, classes: DataFrame, going: DataFrame, k: int, threshold: float, turn: int) -> tuple[DataFrame, DataFrame]:
+    """The graph after a local join and fresh orders of the classes ``going``, and per label and length how many links these
+    orders met and how many of them the graph knew.
+
+    Only links of classes whose list is not full of links count: full lists are enlarged later and need not hold them.
+    """
+    fresh = cut(best_of(first_graph(going.withColumn("orders", F.lit(FRESH)), k, BLOCK, turn), k))
+    held = graph.where(F.col("sim") >= threshold)
+    full = held.groupBy("v").count().where(F.col("count") >= k)
+    asked = fresh.where(F.col("sim") >= threshold).join(full, "v", "left_anti")
+    both = held.select("v", "u").union(held.select(F.col("u").alias("v"), F.col("v").alias("u"))).distinct().withColumn("had", F.lit(1))
+    told = asked.join(both, ["v", "u"], "left").join(going.select("v", "label", "dim"), "v")
+    shares = cut(told.groupBy("label", "dim").agg(F.count("*").alias("met"), F.count("had").alias("known")))
+    joined = local_join(graph.join(going.select("v"), "v", "left_semi"), classes, k, REVERSE)
+    return cut(best_of(graph.union(fresh).union(joined), k)), shares
+
+
 def near_duplicates(
     embeddings: DataFrame, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding",
-    threshold: float = THRESHOLD, neighbours: int = NEIGHBOURS, rounds: int = ROUNDS, recall: float = RECALL,
+    threshold: float = THRESHOLD, neighbours: int = NEIGHBOURS, recall: float = RECALL,
 ) -> DataFrame:
     """``vec_id``, ``n_links``, ``component_id``, ``kept``, ``audited_recall`` for each row.
 
@@ -238,11 +283,21 @@ def near_duplicates(
     rows = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).alias("vec"))
     sound = F.coalesce(F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("sound", sound & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
-    classes = cut(vector_classes(rows.where("sound").drop("sound")))
-    graph = cut(best_of(first_graph(classes, neighbours, ORDERS, BLOCK), neighbours))
+    classes = cut(_with_orders(vector_classes(rows.where("sound").drop("sound")), threshold))
+    graph = cut(best_of(first_graph(classes, neighbours, BLOCK, 0), neighbours))
     copies = classes.select(F.col("v").alias("u"), "copies")
-    for left in range(rounds - 1, -1, -1):
-        graph = cut(best_of(graph.union(local_join(graph, classes, neighbours, REVERSE)), neighbours))
+    turn, met = 0, 1.0
+    while True:
+        going = classes
+        while True:
+            turn += 1
+            graph, shares = refined(graph, classes, going, neighbours, threshold, turn)
+            short = shares.where(F.col("known") < recall * F.col("met"))
+            known = shares.agg(F.sum("known"), F.sum("met")).first()
+            met = known[0] / known[1] if known[1] else met
+            if short.isEmpty():
+                break
+            going = cut(classes.join(short.select("label", "dim"), ["label", "dim"], "left_semi"))
         close = graph.where(F.col("sim") >= threshold)
         pairs = cut(close.select("v", "u").union(close.select("u", "v")).distinct())
         member = cut(components(pairs.select(F.col("v").alias("a"), F.col("u").alias("b"))))
@@ -253,8 +308,8 @@ def near_duplicates(
         counted = dense_links(members, threshold, TILE)
         listed = pairs.join(copies, "u").groupBy("v").agg(F.sum("copies").alias("m"))
         links = cut(listed.join(counted, "v", "full").select("v", F.greatest("m", "n").alias("n")))
-        reached = audit(classes, links, threshold, AUDITED)
-        if reached >= recall or not left:
+        reached = min(met, audit(classes, links, threshold, AUDITED))
+        if reached >= recall:
             break
     told = classes.select("v", "label", "vec", "copies").join(links, "v", "left").join(group.select(F.col("node").alias("v"), "component"), "v", "left")
     told = told.select("label", "vec", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "v").alias("component_id"))

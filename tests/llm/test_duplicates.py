@@ -1,10 +1,12 @@
 """Near-duplicate operators against brute force."""
 
 import collections
+import math
 import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -217,3 +219,25 @@ def test_nn_descent(spark):
     assert all(r.kept == (r.vec_id == r.component_id) for r in out if r.vec_id is not None) and len(out) == len(rows)
     assert out[0].audited_recall >= 0.98
     assert nn_descent.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_rare_links_of_a_large_label(spark):
+    """300 planted pairs among 20,000 unrelated vectors of one label."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(20000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for k in range(300):
+        aside = rng.normal(size=64)
+        aside -= aside @ x[k] * x[k]
+        x[10000 + k] = 0.945 * x[k] + math.sqrt(1 - 0.945**2) * aside / np.linalg.norm(aside)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "label": 1, "embedding": x.tolist()}), "vec_id long, label int, embedding array<double>")
+    out = nn_descent.near_duplicates(df)
+    links = {r.vec_id: r.component_id for r in out.where("n_links > 0").collect()}
+    assert all(links[v] == v % 10000 for v in links) and len(links) >= 0.98 * 600
+    assert abs(out.first().audited_recall - len(links) / 600) <= 0.02
+
+
+def test_parts_of_any_size(spark):
+    rows = [(1, 1, [1e200, 1e200]), (2, 1, [1e200, 1.01e200]), (3, 1, [1e-310, 1e-310]), (4, 1, [-1.0, 1.0]), (5, 1, [1e308, -1e308])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in nn_descent.near_duplicates(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (0, 5)}
