@@ -198,6 +198,37 @@ def test_short_paragraphs_between_surges_stay():
     assert main_text(f"<p>off</p>{menu}{long}{menu}<p>Short one.</p>{menu}{long}{menu}<p>off</p>").split() == want
 
 
+def test_windows_decide_inside_marks():
+    long, teaser = "<p>" + "long text " * 12 + "</p>", "<h3><a href=/x>Other story</a></h3><p>Teaser of it</p>"
+    want = ("long text " * 12).strip()
+    assert main_text(f"<main><article>{long}</article><section><h2>More stories</h2>{teaser}</section></main>") == want
+    assert main_text(f"<article><h1>Head</h1>{long}</article><article>{teaser}</article><article>{long}</article>") == f"Head {want} {want}"
+    assert main_text(f"<main><h1>Head</h1><article>{long}<ul><li><a href=/t>tag</a></ul></article></main>") == f"Head {want}"
+    assert main_text(f"<main><p>Off</p>{'<p><a href=/x>link</a></p>' * 4}{long}<p>Short.</p></main>") == f"{want} Short."
+    assert main_text("<article><a href=/x>Only a link</a></article>") == "Only a link"
+
+
+@pytest.mark.parametrize("page, want", [
+    ("foo<img src=x>bar", "foobar"), ("x<custom-el>y</custom-el>z", "xyz"), ("a<br>b<hr>c", "a b c"),
+    ("text <span class='ad'>Buy now</span> more <span style='display:none'>secret</span>", "text more"), ("<code><span class=comment># said</span> x</code>", "# said x"),
+    ("<p title='a > b'>text</p>", "text"), ("<p title='>text</p>", "text"), ("a<svg/>b<svg><path/></svg>c", "abc"), ("<script>x</script >y", "y"),
+    ("5 <6 and <b>7</b> <", "5 <6 and 7 <"), ("<p>a</p><!-- b", "a"), ("<i>a<p>b</i>c</p>d</i>e", "a bc de"),
+])
+def test_markup(page, want):
+    assert main_text(page) == want
+
+
+@pytest.mark.parametrize("unit", [
+    "<a ", "<b></i>", "<i><p><b></i>", "<b><p>", "<div class=ad><main>", '<a ">" ', "<a '", "<script", "</script", "<script>", "<!--", "<!", "<p>&", "<li><p>", "</p>", "<td><b>",
+])
+def test_broken_pages_take_linear_time(unit):
+    import time
+
+    start = time.process_time()
+    main_text("<i>" + unit * (300_000 // len(unit)))
+    assert time.process_time() - start < 5
+
+
 def test_surge_and_dive():
     weights = np.array([0, 5, 0, 0, 0, 90, 0, 3, 80, 0, 0, 0, 7])
     assert spans(weights, 3, 80) == [(5, 9)] and spans(weights, 3, 1) == [(1, 2), (5, 9), (12, 13)]
