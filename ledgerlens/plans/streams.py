@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..streaming import dashboard as B
 from ..streaming import operations as S
 from ..streaming.core import drain, shared_folder, table_stream
 from ..streaming.jobs import track_jobs
@@ -123,3 +124,23 @@ def uploads_per_hour(d):
 @query("logins_per_15_min", _limited_sql(K.LOGINS_PER_15_MIN, 15, 400))
 def logins_per_15_min(d):
     return _limited(d, K.LOGINS_PER_15_MIN, 15, 400)
+
+
+_SINCE = f"""SELECT c.asesoria_id, m.estado, m.since_day FROM (SELECT factura_id, {_MOVE} AS estado, strftime(created_at, '%Y-%m-%d') AS since_day,
+    row_number() OVER (PARTITION BY factura_id ORDER BY created_at DESC, id DESC) rn FROM auditoria WHERE accion<>'EDITADA') m
+    JOIN facturas f ON f.id=m.factura_id JOIN clientes c ON c.id=f.cliente_id WHERE rn=1"""
+
+
+def _rollup(d):
+    firms = d.facturas.join(d.clientes.select(F.col("id").alias("cliente_id"), "asesoria_id"), "cliente_id").select(F.col("id").alias("factura_id"), "asesoria_id")
+    return B.state_rollup(_audit(d), firms)
+
+
+@query("state_rollup_stream", with_views("SELECT asesoria_id, estado, since_day, count(*) AS n FROM since GROUP BY ALL", "auditoria", "facturas", "clientes", since=_SINCE))
+def state_rollup_stream(d):
+    return B.rollup_rows(_rollup(d))
+
+
+@query("state_counts_from_deltas", with_views("SELECT asesoria_id, estado, count(*) AS count FROM since GROUP BY ALL", "auditoria", "facturas", "clientes", since=_SINCE))
+def state_counts_from_deltas(d):
+    return B.rollup_by_state(_rollup(d))

@@ -14,6 +14,8 @@ from ..operators import parties as P
 from ..operators import patch as T
 from ..operators import uploads as U
 from ..session import cut_lineage
+from ..sources.buckets import read_buckets, update_buckets, write_buckets
+from ..streaming.core import shared_folder
 from .prelude import with_views
 from .registry import duck_ts, query, ts
 
@@ -148,6 +150,23 @@ def apply_patch(d):
         "id", "cliente_id", "estado", "confianza_ia", "total")
 
 
+@query("patch_in_buckets", with_views(
+    f"""SELECT id, cliente_id, CASE WHEN total>300000 THEN 'VALIDADA' ELSE estado END AS estado, total,
+    CASE WHEN total>300000 THEN {duck_ts(NOW_SQL)} END AS updated_at, CASE WHEN proveedor_id%2=0 THEN proveedor_nombre END AS proveedor_nombre
+    FROM facturas_p""", "facturas_p"))
+def patch_in_buckets(d):
+    """Large invoices validated and stamped, then supplier names taken from another table; both rewrite only touched buckets."""
+    path = shared_folder(d.spark, "invoices")
+    start = d.facturas.select("id", "cliente_id", "estado", "total", F.lit(None).cast("timestamp_ntz").alias("updated_at"), F.lit(None).cast("string").alias("proveedor_nombre"))
+    write_buckets(start, path, "id")
+    patch = d.facturas.where("total > 300000").select(
+        "id", F.lit("VALIDADA").alias("estado"), NOW().alias("updated_at"), F.lit(True).alias("set_estado"), F.lit(True).alias("set_updated_at"))
+    update_buckets(d.spark, path, "id", patch, lambda rows, p: T.apply_patch(rows, p, "id", ["estado", "updated_at"]))
+    names = d.facturas_p.where("proveedor_id % 2 = 0").select("id", "proveedor_nombre")
+    update_buckets(d.spark, path, "id", names, lambda rows, p: T.update_from(rows, p, "id", ["proveedor_nombre"]))
+    return read_buckets(d.spark, path).withColumn("updated_at", ts("updated_at"))
+
+
 @query("update_from", with_views(
     """SELECT f.id, f.cliente_id, n.numero_correlativo, f.estado FROM facturas f LEFT JOIN n ON n.id=f.id""", "facturas", n=NUMBERED))
 def update_from(d):
