@@ -152,8 +152,7 @@ def apply_patch(d):
 
 @query("patch_in_buckets", with_views(
     f"""SELECT id, cliente_id, CASE WHEN total>300000 THEN 'VALIDADA' ELSE estado END AS estado, total,
-    CASE WHEN total>300000 THEN {duck_ts(NOW_SQL)} END AS updated_at, CASE WHEN proveedor_id%2=0 THEN proveedor_nombre END AS proveedor_nombre
-    FROM facturas_p""", "facturas_p"))
+    CASE WHEN total>300000 THEN {duck_ts(NOW_SQL)} END AS updated_at, proveedor_nombre FROM facturas_p""", "facturas_p"))
 def patch_in_buckets(d):
     """Large invoices validated and stamped, then supplier names taken from another table; both rewrite only touched buckets."""
     path = shared_folder(d.spark, "invoices")
@@ -162,7 +161,7 @@ def patch_in_buckets(d):
     patch = d.facturas.where("total > 300000").select(
         "id", F.lit("VALIDADA").alias("estado"), NOW().alias("updated_at"), F.lit(True).alias("set_estado"), F.lit(True).alias("set_updated_at"))
     update_buckets(d.spark, path, "id", patch, lambda rows, p: T.apply_patch(rows, p, "id", ["estado", "updated_at"]))
-    names = d.facturas_p.where("proveedor_id % 2 = 0").select("id", "proveedor_nombre")
+    names = d.facturas_con_proveedor.where("proveedor_nombre is not null").select("id", "proveedor_nombre")
     update_buckets(d.spark, path, "id", names, lambda rows, p: T.update_from(rows, p, "id", ["proveedor_nombre"]))
     return read_buckets(d.spark, path).withColumn("updated_at", ts("updated_at"))
 
