@@ -8,6 +8,8 @@ from ..functions import constants as K
 from ..operators import audit as A
 from ..operators import dashboard as D
 from ..operators import invoices as I
+from ..operators import latency as L
+from ..streaming.core import shared_folder
 from .prelude import with_views
 from .registry import duck_ts, query, ts
 
@@ -306,6 +308,23 @@ def job_latency_p95(d):
     return D.job_latency(d.jobs, exact=True)
 
 
+@query("latency_by_firm", with_views(
+    """SELECT c.asesoria_id, count(*) AS n, true AS within_one_percent FROM jobs j JOIN facturas f ON f.id=j.factura_id JOIN clientes c ON c.id=f.cliente_id
+    WHERE finished_at IS NOT NULL AND started_at IS NOT NULL GROUP BY 1""", "jobs", "facturas", "clientes"))
+def latency_by_firm(d):
+    """95th percentile from stored sketches: its exact rank among all jobs is within one percent."""
+    firms = d.facturas.join(d.clientes.select(F.col("id").alias("cliente_id"), "asesoria_id"), "cliente_id").select(F.col("id").alias("factura_id"), "asesoria_id")
+    finished = L.finished_per_firm(d.jobs, firms)
+    stored = shared_folder(d.spark, "latency")
+    L.latency_sketches(finished).write.parquet(stored)
+    told = L.latency_of_span(d.spark.read.parquet(stored))
+    per_second = finished.groupBy("asesoria_id", "s").agg(F.count(F.lit(1)).alias("k"))
+    count = lambda which: F.coalesce(F.sum(F.when(which, F.col("k"))), F.lit(0)) / F.sum("k")
+    ranks = per_second.join(told, "asesoria_id").groupBy("asesoria_id", "n").agg(
+        count(F.col("s") < F.col("quantile")).alias("below"), count(F.col("s") <= F.col("quantile")).alias("upto"))
+    return ranks.select("asesoria_id", "n", ((F.col("below") <= 0.96) & (F.col("upto") >= 0.94)).alias("within_one_percent"))
+
+
 @query("document_codes", with_views(
     """SELECT id, CASE WHEN length(id::VARCHAR)>=6 THEN 'DOC-'||id ELSE 'DOC-'||lpad(id::VARCHAR,6,'0') END AS codigo,
        CASE WHEN length((id*1000)::VARCHAR)>=6 THEN 'DOC-'||(id*1000) ELSE 'DOC-'||lpad((id*1000)::VARCHAR,6,'0') END AS codigo_largo FROM facturas""", "facturas"))

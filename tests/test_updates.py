@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import constants as K
+from ledgerlens.operators.latency import latency_of_span, latency_sketches
 from ledgerlens.operators.patch import apply_patch
 from ledgerlens.sources.buckets import bucket_of, read_buckets, touched_buckets, update_buckets, write_buckets
 from ledgerlens.streaming.dashboard import rollup_by_state, rollup_rows, state_rollup
@@ -78,3 +79,21 @@ def test_rollup_of_nothing(spark, tmp_path):
     pq.write_table(pa.table({"factura_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "accion": pa.array([], pa.string()), "ts": pa.array([], pa.timestamp("us", "UTC"))}), str(tmp_path / "0.parquet"))
     stream = spark.readStream.schema(spark.read.parquet(str(tmp_path)).schema).parquet(str(tmp_path))
     assert rollup_rows(state_rollup(stream, spark.createDataFrame([], "factura_id long, asesoria_id long"))).count() == 0
+
+
+def test_latency_of_spans_from_sketches(spark):
+    rng = random.Random(4)
+    day = lambda k: dt.date(2024, 1, 1) + dt.timedelta(days=k)
+    rows = [(rng.choice([1, 1, 1, 2]), day(rng.randrange(20)), int(rng.expovariate(1 / 900))) for _ in range(60000)] + [(3, day(0), 7)]
+    sketches = latency_sketches(spark.createDataFrame(rows, "asesoria_id long, day date, s long"))
+    assert sketches.count() == 41
+    for first, last in ((None, None), (day(3), day(9)), ("2024-01-02", "2024-01-02")):
+        got = {r.asesoria_id: r for r in latency_of_span(sketches, 0.95, first, last).collect()}
+        lo, hi = dt.date.fromisoformat(str(first or day(0))), dt.date.fromisoformat(str(last or day(30)))
+        for firm in (1, 2):
+            values = sorted(s for f, d, s in rows if f == firm and lo <= d <= hi)
+            below = sum(v < got[firm].quantile for v in values) / len(values)
+            upto = sum(v <= got[firm].quantile for v in values) / len(values)
+            assert got[firm].n == len(values) and below - 0.01 <= 0.95 <= upto + 0.01
+    assert latency_of_span(sketches, 0.95, day(1), day(1)).where("asesoria_id = 3").count() == 0
+    assert latency_of_span(sketches.limit(0)).count() == 0
