@@ -41,8 +41,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id.  Rows without an id stay.
 
-    Near copies have a 5-word Jaccard similarity of 0.8 or more.  SimHash cannot tell them: pairs at 0.8 differ in about ten
-    of 64 bits, as far as its tiles would have to compare everything with everything.  Banded minimum hashes find them.
+    SimHashes of five words link in tiles, as in ``op3``, and a link holds where the 5-word Jaccard similarity is 0.8 or more.
+    Pairs at 0.8 differ in about ten of 64 bits, as far as tiles would have to compare everything with everything: banded
+    minimum hashes propose those that the tiles do not.
     """
     told = near_copies(docs)
     gone = free_name(docs, "gone")

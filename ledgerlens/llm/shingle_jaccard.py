@@ -1,6 +1,7 @@
-"""Near-dedup by exact Jaccard similarity of word shingles; banded fingerprints find the pairs to compare.
+"""Near-dedup by SimHash tiles, then exact Jaccard similarity of word shingles for every link.
 
-Equal shingle sets are one class.  A class has ``BANDS`` fingerprints, each of the least ``ROWS`` hashes under as many
+Equal shingle sets are one class.  The SimHash of each class goes through the tiles of ``simhash_tiles``, whose links are
+candidates.  Pairs at 0.8 may differ in more bits than tiles can search, so banded fingerprints add the others.  A class has ``BANDS`` fingerprints, each of the least ``ROWS`` hashes under as many
 random orders, and two classes meet if one fingerprint agrees: a pair at 0.8 misses all of them once in ten million.
 Pairs that meet are compared in full, so every link is exact.  First each meets the smallest of its bucket; then the
 members that those links left in different groups meet each other, in tiles.
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, longs_of, slices, texts_of
 from .components import components, forest
-from .simhash_tiles import FOLD, SEED
+from .simhash_tiles import FOLD, RADIUS, SEED, fingerprint, similar_classes
 
 SHINGLE = 5
 #: Least similarity of a link, in tenths: whole numbers, so that the threshold itself is met exactly.
@@ -72,19 +73,22 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def described(texts: DataFrame, shingle: int) -> DataFrame:
-    """``doc_id``, ``h1``, ``h2``, 128-bit digest ``d1``, ``d2`` of the shingle set, its size ``n`` and ``bands`` of every row."""
+    """``doc_id``, ``h1``, ``h2``, 128-bit digest ``d1``, ``d2`` of the shingle set, its size ``n``, SimHash ``fp``
+    and ``bands`` of every row."""
     orders = np.random.default_rng(13).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [shingle_hashes(t, shingle) for t in texts_of(batch)]
+            texts = list(texts_of(batch))
+            sets = [shingle_hashes(t, shingle) for t in texts]
+            fps = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
             bands = [band_hashes(s, orders).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
             digests = np.frombuffer(b"".join(xxhash.xxh128_digest(s.tobytes(), SEED) for s in sets), np.int64).reshape(-1, 2)
             arrays = [*(batch.column(c) for c in ("doc_id", "h1", "h2")), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy())]
-            arrays += [pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "h1", "h2", "d1", "d2", "n", "bands"])
+            arrays += [pa.array([len(s) for s in sets], pa.int64()), pa.array(fps), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "h1", "h2", "d1", "d2", "n", "fp", "bands"])
 
-    return texts.mapInArrow(describe, "doc_id long, h1 long, h2 long, d1 long, d2 long, n long, bands array<long>")
+    return texts.mapInArrow(describe, "doc_id long, h1 long, h2 long, d1 long, d2 long, n long, fp long, bands array<long>")
 
 
 def _sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -197,6 +201,14 @@ def _stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tiled(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Candidates ``a``, ``b`` that join all classes (``v``, SimHash ``fp``) within ``radius`` bits: equal ones meet the least, the
+    others in tiles."""
+    heads = cut(classes.groupBy("fp").agg(F.min("v").alias("rep")))
+    equal = classes.join(heads, "fp").where("v <> rep").select(F.col("rep").alias("a"), F.col("v").alias("b"))
+    return equal.union(similar_classes(heads, radius))
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, tenths: int = TENTHS) -> DataFrame:
     """``doc_id``, ``component_id`` (smallest id reachable) for each row.
 
@@ -205,13 +217,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     texts = _texts(docs, id_col, text_col)
     rows = cut(described(texts, shingle).withColumn("row", F.monotonically_increasing_id()))
-    classes = rows.groupBy("d1", "d2").agg(F.min(F.struct("row", "doc_id", "h1", "h2")).alias("m"), F.min("doc_id").alias("least"))
-    classes = cut(classes.select("d1", "d2", F.col("m.row").alias("v"), "m.doc_id", "m.h1", "m.h2", "least"), clear=True)
+    classes = rows.groupBy("d1", "d2").agg(F.min(F.struct("row", "doc_id", "h1", "h2", "fp")).alias("m"), F.min("doc_id").alias("least"))
+    classes = cut(classes.select("d1", "d2", F.col("m.row").alias("v"), "m.doc_id", "m.h1", "m.h2", "m.fp", "least"), clear=True)
     met = rows.join(classes.select(F.col("v").alias("row")), "row").select(F.col("row").alias("v"), "n", F.explode("bands").alias("band"))
     shared = met.groupBy("band").agg(F.min(F.struct("v", "n")).alias("first"), F.count("*").alias("members")).where("members > 1")
     met = cut(met.join(cut(shared.select("band", "first"), clear=True), "band"), clear=True)  # only bands that several classes hold
     size = F.least("n", "m") * 10 >= F.greatest("n", "m") * tenths  # sets whose sizes differ by more cannot be similar
-    stars = cut(met.where("v <> first.v").select(F.col("first.v").alias("a"), F.col("v").alias("b"), "n", F.col("first.n").alias("m")).where(size).select("a", "b").distinct(), clear=True)
+    stars = met.where("v <> first.v").select(F.col("first.v").alias("a"), F.col("v").alias("b"), "n", F.col("first.n").alias("m")).where(size).select("a", "b")
+    stars = cut(tiled(classes.select("v", "fp")).union(stars).distinct(), clear=True)
 
     def sets_of(asked: DataFrame) -> DataFrame:
         return _sets(texts, cut(classes.join(asked.distinct(), "v").select("v", "doc_id", "h1", "h2"), clear=True), shingle)

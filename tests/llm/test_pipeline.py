@@ -9,7 +9,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline as CP
-from ledgerlens.llm import quality_fm
+from ledgerlens.llm import quality_fm, shingle_jaccard, simhash_tiles
 from ledgerlens.llm.string_tiling import WORD
 
 from .conftest import words
@@ -117,6 +117,27 @@ def test_near_copies_have_similar_shingles(spark, tables, outputs):
     assert differ > 20
 
 
+def test_near_copies_meet_in_tiles(spark):
+    """The SimHash step of the stage: its candidates join exactly what lies within two bits."""
+    rng, texts = random.Random(31), []
+    for k in range(40):
+        base = words(rng, 900).split()
+        texts += [" ".join(base[:cut_at] + base[cut_at + 1 :]) for cut_at in range(1 + k % 4)] + [" ".join(base)]
+    fps = [simhash_tiles.fingerprint(t, 5) for t in texts]
+    want, got = Union(), Union()
+    for i, a in enumerate(fps):
+        want.find(i), got.find(i)
+        for j in range(i):
+            if (a ^ fps[j]).bit_count() <= 2:
+                want.join(i, j)
+    rows = [(i, a - 2**64 if a >= 2**63 else a) for i, a in enumerate(fps)]
+    pairs = shingle_jaccard.tiled(spark.createDataFrame(rows, "v long, fp long")).collect()
+    for r in pairs:
+        got.join(r.a, r.b)
+    groups = lambda u: {frozenset(j for j in range(len(fps)) if u.find(j) == u.find(i)) for i in range(len(fps))}
+    assert groups(got) == groups(want) and 1 < len(groups(want)) < len(fps)
+
+
 def test_decontaminate(spark, tables, outputs):
     docs, out = outputs["decontaminate"]
     items = [WORD.findall(r.text.lower()) for r in spark.read.parquet(f"{tables}/benchmark.parquet").collect() if r.text]
