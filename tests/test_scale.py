@@ -16,6 +16,7 @@ from ledgerlens.operators.extraction import items as IT
 from ledgerlens.operators.extraction.lines import scan_lines
 from ledgerlens.plans import registry
 from ledgerlens.sources.domain import Domain
+from ledgerlens.sources.render import invoice_text
 from ledgerlens.streaming.core import table_stream
 
 
@@ -165,3 +166,20 @@ def test_no_row_is_late_in_shuffled_files(spark, shuffled, name):
         con.execute(f"create view {t} as select * from '{shuffled}/{t}.parquet/*.parquet'")
     want = con.execute(registry.oracles()[name]).fetchall()
     assert sorted(map(str, (tuple(r) for r in registry._PLANS[name](d).collect()))) == sorted(map(str, want))
+
+
+def test_texts_are_rendered_and_scanned_without_lambdas(spark, sf_dir):
+    """Lambdas are interpreted element by element; rendering has none, and the lines of an invoice move once, without windows."""
+    plan = invoice_text(Domain(spark, sf_dir))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "Window" not in plan and plan.count("RepartitionByExpression") == 2
+
+
+def test_lines_of_ragged_texts(spark):
+    """Stripping in one pass over the text gives the lines that stripping one by one gives, long runs of blanks included."""
+    blanks = " \t\r\f\x0b\x85  "
+    texts = ["", " ", "\n\n", "a", " a \n\t\n b  c \r\n", "x" + " " * 200_000 + "y\n" + " \n" * 1000 + "z", f"a{blanks}\n{blanks}\nb{blanks}c\n{blanks}", "Nº 1\xa0\n 2ª² ﬁn"]
+    folded = [unicodedata.normalize("NFKC", t) for t in texts]
+    want = [[x.strip(blanks) for x in t.split("\n") if x.strip(blanks)] for t in folded]
+    rows = scan_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.raw_lines for r in rows] == want
+    assert all(r.text == "\n".join(r.lines) for r in rows)
