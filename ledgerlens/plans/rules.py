@@ -17,6 +17,7 @@ from ..operators.extraction.common import pin
 from ..operators.extraction import fields as FI
 from ..operators.extraction import lines as LI
 from .lists import JOINED, LATEST_DOC
+from ..sources.domain import spread
 from .prelude import with_views
 from .registry import duck_ts, query, ts
 
@@ -146,7 +147,7 @@ def _kinds(d):
     number = F.lpad(key.cast("string"), 8, "0")
     head = F.when(key % 4 == 0, F.concat(F.lit("FACTURA RECTIFICATIVA\nRectifica a la factura: FO2025"), number)).when(key % 4 == 1, F.lit("TICKET DE COMPRA")).otherwise(F.lit("FACTURA"))
     tax = F.when(key % 3 == 0, "IVA 21%").when(key % 3 == 1, "IGIC 7%").otherwise("Cuota")
-    return d.table("orders").select(key.alias("doc_id"), F.concat_ws("\n", head, F.concat(F.lit("Factura Nº: FR2026"), number), tax).alias("text"),
+    return spread(d.table("orders").select("o_orderkey"), "o_orderkey").select(key.alias("doc_id"), F.concat_ws("\n", head, F.concat(F.lit("Factura Nº: FR2026"), number), tax).alias("text"),
                                     F.element_at(F.array(*[F.lit(float(r)) for r in (21, 7, 3, 0, 99)]), (key % 5 + 1).cast("int")).alias("rate"))
 
 

@@ -183,3 +183,9 @@ def test_lines_of_ragged_texts(spark):
     rows = scan_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
     assert [r.raw_lines for r in rows] == want
     assert all(r.text == "\n".join(r.lines) for r in rows)
+
+
+def test_short_texts_are_dealt_over_tasks(spark, sf_dir):
+    """Matching patterns takes long beside reading keys, so the tasks do not hang on how the file of orders is cut."""
+    plan = registry.plans()["rectified_numbers"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1
