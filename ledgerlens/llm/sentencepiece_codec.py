@@ -4,12 +4,13 @@ The model protobuf is read field by field and rebuilt: normaliser (character map
 marker, scores, byte fallback.  Unigram models keep their scores; BPE models turn them into the order of merges.
 
 No piece crosses from text into a marker (checked when the model is loaded), so a text falls apart before each run of
-markers and every part is encoded once per worker; new parts of a slice of texts are encoded in one multithreaded batch.
+markers and every part is encoded once per worker; new parts of a slice of texts are encoded in batches, on the one core of a task.
 Parity is verified on every new part, against the SentencePiece library itself, and decoding against the normalised text.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 from array import array
@@ -27,6 +28,8 @@ from .common import Recent, kept, slices, texts_of
 MARKER = "▁"
 #: Parts of texts a worker remembers, twice.
 REMEMBERED = 150_000
+#: Parts encoded in one batch.
+AT_ONCE = 2_000
 ENCODED = "doc_id long, n_pieces long, ids array<int>, n_unknown long, round_trip boolean, parity boolean"
 #: Field numbers and piece kinds of the model format (fixed values).
 UNIGRAM, BPE = 1, 2
@@ -165,7 +168,11 @@ class Codec:
         return MARKER + text if self.spec.dummy_prefix and text else text
 
     def learn(self, parts: list[str]) -> None:
-        """Encodes new parts in one batch and compares each with the library."""
+        """Encodes new parts and compares each with the library, ``AT_ONCE`` at a time: their encodings take memory."""
+        for k in range(0, len(parts), AT_ONCE):
+            self._learn(parts[k : k + AT_ONCE])
+
+    def _learn(self, parts: list[str]) -> None:
         names = self.names.__getitem__
         for part, e in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)):
             ids = e.ids
@@ -222,6 +229,7 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # each thread would keep memory of its own
         codec = kept(("sentencepiece", model), lambda: Codec(model))
         for batch in slices(batches):
             ids, good, parity = codec.encode(texts_of(batch))

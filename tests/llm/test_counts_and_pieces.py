@@ -7,7 +7,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from ledgerlens.llm.sentencepiece_codec import Codec, decode_documents, encode_documents
+from ledgerlens.llm.common import kept
+from ledgerlens.llm.sentencepiece_codec import AT_ONCE, Codec, decode_documents, encode_documents
 from ledgerlens.llm.token_counts import PrefixCounter, counts_at, longest_within, token_prefixes
 
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -78,3 +79,28 @@ def test_pieces_of_odd_rows(odd, odd_rows, none):
 def test_decoding_gives_texts_back(odd, odd_rows):
     got = decode_documents(encode_documents(odd, PIECES), PIECES).collect()
     assert sorted((r.doc_id or -1, r.text) for r in got) == sorted((r[0] or -1, r[1] or "") for r in odd_rows)
+
+
+def test_encodings_in_memory_are_bounded():
+    codec, sizes = Codec(PIECES), []
+
+    class Counting:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode_batch_fast(self, parts, **more):
+            sizes.append(len(parts))
+            return self.inner.encode_batch_fast(parts, **more)
+
+    codec.tokenizer = Counting(codec.tokenizer)
+    text = " ".join(f"w{k}" for k in range(2 * AT_ONCE + 5))
+    (ids,), (same,), (parity,) = codec.encode([text])
+    assert ids.tolist() == codec.library.encode(text) and same and parity
+    assert sum(sizes) > 2 * AT_ONCE and max(sizes) <= AT_ONCE
+
+
+def test_a_worker_keeps_one_operator_s_things():
+    first = kept("test a", lambda: ["a"])
+    assert kept("test a", list) is first
+    kept("test b", list)
+    assert kept("test a", list) is not first
