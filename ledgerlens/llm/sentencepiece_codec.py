@@ -137,7 +137,11 @@ def backend(spec: Spec) -> Tokenizer:
         (-score, i, p[:k], p[k:]) for p, (score, i) in usable.items() for k in range(1, len(p)) if p[:k] in usable and p[k:] in usable
     ]
     merges.sort(key=lambda m: (m[0], m[1], vocabulary[m[2]], vocabulary[m[3]]))
-    return Tokenizer(models.BPE(vocab=vocabulary, merges=[(a, b) for _, _, a, b in merges], unk_token=spec.pieces[unknown][0], fuse_unk=True, byte_fallback=spec.byte_fallback))
+    # the model's own cache would never be hit: every part is encoded once
+    return Tokenizer(models.BPE(
+        vocab=vocabulary, merges=[(a, b) for _, _, a, b in merges], unk_token=spec.pieces[unknown][0], fuse_unk=True,
+        byte_fallback=spec.byte_fallback, cache_capacity=0,
+    ))
 
 
 class Codec:
@@ -174,17 +178,16 @@ class Codec:
 
     def _learn(self, parts: list[str]) -> None:
         names = self.names.__getitem__
-        for part, e in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)):
-            ids = e.ids
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        for part, ids in zip(parts, found):
             self.known[part] = array("i", ids).tobytes()
             if "".join(map(names, ids)) != part and self._spell(ids) != part:
                 self.lossy.add(part)
         # the library adds the dummy prefix itself; a lone marker is not a text it can be given
         prefix = self.spec.dummy_prefix
-        asked = [p for p in parts if p != MARKER and (p[0] == MARKER or not prefix)]
-        for part, ids in zip(asked, self.library.encode([p[prefix:].replace(MARKER, " ") for p in asked], num_threads=1)):
-            if self.known[part] != array("i", ids).tobytes():
-                self.differing.add(part)
+        asked = [(p, x) for p, x in zip(parts, found) if p != MARKER and (p[0] == MARKER or not prefix)]
+        told = self.library.encode([p[prefix:].replace(MARKER, " ") for p, _ in asked], num_threads=1)
+        self.differing.update(p for (p, x), ids in zip(asked, told) if x != ids)
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool], list[bool]]:
         """Ids of texts, whether they spell the normalised text, and whether they are the library's.

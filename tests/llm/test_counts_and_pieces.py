@@ -104,3 +104,13 @@ def test_a_worker_keeps_one_operator_s_things():
     assert kept("test a", list) is first
     kept("test b", list)
     assert kept("test a", list) is not first
+
+
+def test_the_model_keeps_no_second_cache(monkeypatch):
+    from ledgerlens.llm import sentencepiece_codec as module
+
+    asked, bpe = [], module.models.BPE
+    monkeypatch.setattr(module.models, "BPE", lambda **given: asked.append(given.get("cache_capacity")) or bpe(**given))
+    codec = Codec(PIECES)
+    (ids,), (same,), (parity,) = codec.encode(["abc abc  abd"])
+    assert asked == [0] and ids.tolist() == codec.library.encode("abc abc  abd") and same and parity
