@@ -90,6 +90,23 @@ def test_normal_forms_of_many_scripts(spark, scripts, form):
     assert got == {i: unicodedata.normalize(form, t) for i, t in enumerate(scripts)}
 
 
+def test_forms_are_computed_once_per_kind_of_piece(spark):
+    """A text's accents are many but of few kinds; texts of more kinds than are looked up at once, and of codes, come out right too."""
+    marks = [chr(c) for c in (0x300, 0x301, 0x308, 0x323)]
+    many = "".join(f"{chr(b)}{a}{c} " for b in range(0x61, 0x7B) for a in marks for c in ["", *marks]) * 2
+    beside = "e\u0301e\u0323\u0301e\u0301\u0323ee\u0301" + "q\u0301\u0323q\u0323\u0301q\u0301" + "\u0301"
+    texts = [many, beside, beside[::-1], many + beside, "\U00100FFEe\u0301\U00100FFF\U00100FFFe\u0301", "".join(chr(c) for c in range(0xC0, 0x1EFF)), "\n\u0301\re\u0301$1\\e\u0301"]
+    texts += [unicodedata.normalize(form, t) for t in texts for form in ("NFC", "NFD")]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = df.select("i", forms.nfc(F.col("t")).alias("NFC"), forms.nfd(F.col("t")).alias("NFD"), forms.nfkc(F.col("t")).alias("NFKC")).collect()
+    for r in got:
+        for form in ("NFC", "NFD", "NFKC"):
+            assert r[form] == unicodedata.normalize(form, texts[r.i]), (form, r.i)
+    # one by one, a piece took some fifty steps that Spark interprets
+    for form in (forms.nfc, forms.nfd):
+        assert "array_distinct(regexp_extract_all" in df.select(form(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_decomposed_invoice_is_read_alike(spark):
     text = "Suministros Íñigo S.L.\nCIF: A00000026\nFactura Nº: FI20260001\nFecha: 01/02/2024\nDescripción\nCantidad\nPrecio\nImporte\nCañón\n2\n10,00\n20,00\nBase imponible 20,00\nIVA 21% 4,20\nTotal factura 24,20"
     rows = [(k, unicodedata.normalize(f, text)) for k, f in enumerate(("NFC", "NFD"))]
