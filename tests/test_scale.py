@@ -102,7 +102,7 @@ def test_forms_are_computed_once_per_kind_of_piece(spark):
     for r in got:
         for form in ("NFC", "NFD", "NFKC"):
             assert r[form] == unicodedata.normalize(form, texts[r.i]), (form, r.i)
-    # one by one, a piece took some fifty steps that Spark interprets
+    # one by one, each piece went through all steps, which Spark interprets
     for form in (forms.nfc, forms.nfd):
         assert "array_distinct(regexp_extract_all" in df.select(form(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
 
